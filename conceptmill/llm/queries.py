@@ -5,9 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import Stage
 from ..tables import in_graphs, table
 from .components import groups
+from .mixing import Mixture
+from .normalize import folds, normalized
+from .packing import pack
 from .splitting import split_texts
+from .tokens import source_name, token_count
+
+# -- 3: one form for texts that read the same ------------------------------------------------------
+
+LABELS = ("skos:prefLabel", "skos:altLabel", "skos:hiddenLabel", "skosxl:literalForm")
+
+
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(found_in, found_id, query_id, text) of all labels, logged hits and searches."""
+    none = F.lit(None).cast("long")
+    quads = table(spark, folder, "quads").filter((F.col("o_kind") == "literal") & F.col("p").isin(*LABELS))
+    hits = table(spark, folder, "hits")
+    asked = table(spark, folder, "label_queries")
+    return (
+        quads.select(F.lit("quads").alias("found_in"), F.col("row_id").alias("found_id"), none.alias("query_id"), F.col("o").alias("text"))
+        .unionByName(hits.select(F.lit("hits").alias("found_in"), F.col("hit_id").alias("found_id"), "query_id", F.col("label").alias("text")))
+        .unionByName(asked.select(F.lit("label_queries").alias("found_in"), F.col("query_id").alias("found_id"), "query_id", F.col("folded").alias("text")))
+    )
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    stage = Stage(spark, "labels")
+    read = stage.write(folds(_texts(spark, folder).filter("text is not null"), "text"), "folds", partition_by="found_in")
+    asked = read.filter("found_in = 'label_queries'").select("query_id", F.col("text").alias("folded"), "fold")
+    other = F.lower("text") != F.col("folded")
+    quads = read.filter("found_in = 'quads'").select("found_id", "text", "fold")
+    hits = read.filter("found_in = 'hits'").select("found_id", "query_id", "text", "fold")
+    a = asked.join(quads, "fold").filter(other).select("query_id", F.lit("quads").alias("found_in"), "found_id")
+    b = asked.join(hits, ["fold", "query_id"]).filter(other).select("query_id", F.lit("hits").alias("found_in"), "found_id")
+    return a.unionByName(b).distinct()
+
+
+def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
+    return normalized(_texts(spark, folder), "text").select("found_in", "found_id", "form")
+
 
 # -- 4: groups of linked concepts -----------------------------------------------------------------
 
@@ -19,6 +58,40 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups(stated.unionByName(walked), "a", "b")
 
 
+# -- 6 and 7: containers, mixture ------------------------------------------------------------------
+
+
+def counted(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, source, n_tokens) of all documents, sources in one spelling."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return docs.select("doc_id", source_name(F.col("source")).alias("source"), token_count(F.col("text")).alias("n_tokens"))
+
+
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(counted(spark, folder), "doc_id", "n_tokens", "source", table(spark, folder, "source_targets"))
+
+
+def p6_fill(spark: SparkSession, folder: str, capacity: int = 2048) -> DataFrame:
+    """Room left unused, by window."""
+    rows = p6_containers(spark, folder)
+    by = rows.groupBy("window", "slot").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("pieces"))
+    return by.groupBy("window").agg(
+        F.count(F.lit(1)).alias("n_containers"), F.sum("pieces").alias("n_pieces"), F.sum("n").alias("n_tokens"), (1 - F.sum("n") / (F.count(F.lit(1)) * capacity)).alias("unused")
+    )
+
+
+def p7_selection(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder).selection()
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder).reached()
+
+
+def _mixture(spark: SparkSession, folder: str) -> Mixture:
+    return Mixture(counted(spark, folder), "doc_id", "n_tokens", "source", table(spark, folder, "source_targets"))
+
+
 # -- 8: pieces ------------------------------------------------------------------------------------
 
 
@@ -30,7 +103,10 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_pieces(spark, folder).filter("piece = 0").select("doc_id")
 
 
-QUERIES = {"p4_found": p4_found, "p8_found": p8_found, "p8_pieces": p8_pieces}
+QUERIES = {
+    "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p6_containers": p6_containers, "p6_fill": p6_fill,
+    "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_pieces": p8_pieces,
+}
 
 SQL = {
     "p4_found": """WITH RECURSIVE l AS (SELECT s AS a, o AS b FROM quads WHERE p = 'skos:exactMatch' AND o_kind <> 'literal' AND g IN (SELECT g FROM graphs WHERE kind = 'vocabulary')

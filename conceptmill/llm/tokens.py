@@ -43,7 +43,7 @@ def token_count(text: Column, path: str = VOCABULARY) -> Column:
         enc = encoder(path)
         return pd.Series([None if t is None else len(enc.encode_ordinary(t)) for t in texts], dtype="Int64")
 
-    return count(text)
+    return count.asNondeterministic()(text)  # so that no optimiser rule evaluates it twice
 
 
 def source_name(source: Column) -> Column:
