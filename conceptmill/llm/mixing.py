@@ -5,8 +5,8 @@ token totals.  It sets how often a source is used: some whole times, and a fract
 That fraction is drawn by the cube method: inclusion probabilities, equal within a source, move through the
 null space of two constraints, the source's tokens and its number of texts, until all but two texts of each block
 are decided.  Blocks are bounded and hashed by text, so a large source is spread over many tasks; the
-undecided texts go on to the next level, until one block per source is left, whose last two texts are
-landed on the outcome nearest to the target.
+undecided texts, with some held open for the landing, go on to the next level, until one block per source is left.  Its last two texts are landed on the
+outcome nearest to the target, and single texts of that block are exchanged while that brings it nearer.
 
 Random directions are seeded by block, so a repeated task decides alike.
 
@@ -59,16 +59,22 @@ def flight(xs: list[float], ps: list[float], seed: int) -> list[float]:
     return ps
 
 
-def land(xs: list[float], ps: list[float]) -> list[float]:
-    """Decide what flight left, at most two texts, nearest to the expected tokens."""
+def land(xs: list[float], ps: list[float], before: list[float]) -> list[float]:
+    """Decide what flight left of the block with probabilities ``before``, at most two texts, nearest to the expected
+    tokens; then exchange texts, larger ones first, while that brings the tokens nearer."""
     open_ = [i for i, p in enumerate(ps) if 0 < p < 1]
-    if not open_:
-        return ps
-    want = sum(xs[i] * ps[i] for i in open_)
-    best = min(range(1 << len(open_)), key=lambda k: (abs(sum(xs[i] for b, i in enumerate(open_) if k >> b & 1) - want), k))
+    want = sum(x * p for x, p in zip(xs, before))
+    fixed = sum(x for x, p in zip(xs, ps) if p == 1)
     out = list(ps)
-    for b, i in enumerate(open_):
-        out[i] = float(best >> b & 1)
+    if open_:
+        best = min(range(1 << len(open_)), key=lambda k: (abs(fixed + sum(xs[i] for b, i in enumerate(open_) if k >> b & 1) - want), k))
+        for b, i in enumerate(open_):
+            out[i] = float(best >> b & 1)
+    over = sum(x for x, p in zip(xs, out) if p == 1) - want
+    for i in sorted((i for i, p in enumerate(before) if 0 < p < 1), key=lambda i: (-xs[i], i)):
+        turned = over - xs[i] if out[i] else over + xs[i]
+        if abs(turned) < abs(over):
+            out[i], over = 1 - out[i], turned
     return out
 
 
@@ -97,13 +103,16 @@ def shares(totals: dict[str, tuple[int, int]], targets: list[tuple[str, float, i
     return out
 
 
-def _flier(level: int, last: bool):
+def _flier(level: int, blocks: dict[str, int], reserve: int):
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
+        last = blocks[pdf["source"].iloc[0]] == 1
         pdf = pdf.sort_values("row")
         xs = pdf["n"].astype(float).tolist()
         seed = hash((int(pdf["row"].iloc[0]), level, len(xs)))  # of integers, so alike in every process
-        ps = flight(xs, pdf["p"].tolist(), seed)
-        return pdf.assign(p=land(xs, ps) if last else ps)[["id", "source", "n", "row", "p"]]
+        before = pdf["p"].tolist()
+        kept = 0 if last else min(reserve, len(xs))  # texts left open for the landing
+        ps = before[:kept] + flight(xs[kept:], before[kept:], seed)
+        return pdf.assign(p=land(xs, ps, before) if last else ps)[["id", "source", "n", "row", "p"]]
 
     return fly
 
@@ -131,6 +140,7 @@ class Mixture:
             p = F.when(F.col("source") == s, F.lit(f)).otherwise(p)
         open_ = kept.select("id", "source", "n", "row", p.alias("p"))
         decided: list[DataFrame] = []
+        reserve = max(2, block_rows // 20)
         level = 0
         while True:
             last = all(b == 1 for s, b in blocks.items() if s in fraction)
@@ -140,12 +150,12 @@ class Mixture:
             open_ = open_.withColumn("block", F.pmod(F.xxhash64("id", "row", F.lit(level)), of).cast("int"))
 
             kind = self.rows.schema["id"].dataType.simpleString()
-            t = self.stage.write(open_.groupBy("source", "block").applyInPandas(_flier(level, last), f"id {kind}, source string, n long, row long, p double"), "flight")
+            t = self.stage.write(open_.groupBy("source", "block").applyInPandas(_flier(level, blocks, reserve), f"id {kind}, source string, n long, row long, p double"), "flight")
             decided.append(t.filter("p >= 1"))
             if last:
                 break
             open_ = t.filter("p > 0 and p < 1")
-            blocks = {s: max(1, -(-2 * b // block_rows)) for s, b in blocks.items()}
+            blocks = {s: max(1, -(-(reserve + 2) * b // block_rows)) for s, b in blocks.items()}
             level += 1
         drawn = decided[0]
         for x in decided[1:]:

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .tokens import VOCABULARY, encoder, token_bytes
 
 _SPACE = re.compile(r"\s+")
@@ -109,6 +110,7 @@ def split_texts(docs: DataFrame, id: str, text: str, limit: int = 2048, overlap:
     """(id, piece, n_pieces, first_char, end_char, n_tokens, overlap, cut, text) of the texts over ``limit`` tokens."""
     if not 0 <= overlap <= limit - 8:
         raise ValueError("the overlap must be at least 0 and less than the limit by 8 tokens")
+    ship(docs.sparkSession)
     long = docs.filter(F.octet_length(text) > limit).select(F.col(id).alias("id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -6,9 +6,11 @@ import base64
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Vocabulary of a public byte-level BPE as ranks.  It has to be at this path on every executor.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -37,6 +39,7 @@ def token_bytes(path: str = VOCABULARY):
 
 def token_count(text: Column, path: str = VOCABULARY) -> Column:
     """Number of tokens; null for null."""
+    ship(SparkSession.active())
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
