@@ -20,3 +20,18 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application."""
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_conceptmill_sent", False):
+        return
+    here = Path(__file__).resolve().parent
+    made = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="conceptmill-")) / "conceptmill"), "zip", here.parent, here.name)
+    sc.addPyFile(made)  # the driver serves the file
+    sc._conceptmill_sent = True

@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .session import ship
+
 _own_folder: list[str] = []
 _open: list["Stage"] = []
 
@@ -36,6 +38,7 @@ class Stage:
     """Tables of one operator run."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
