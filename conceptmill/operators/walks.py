@@ -30,6 +30,7 @@ def walk(links: DataFrame, origins: DataFrame, max_nodes: int | None = None, max
     start = origins.select("g", "origin").dropna().distinct()
     front = stage.write(start.select("g", "origin", F.col("origin").alias("node"), F.array("origin").alias("path")), "front")
     reached: list[DataFrame] = []
+    keys: list[DataFrame] = []  # what was reached, in few tables
     tally = stage.write(start.select("g", "origin", F.lit(0).cast("long").alias("links_walked"), F.lit(0).cast("long").alias("reached"), F.lit(True).alias("complete")), "tally")
     bounded = max_nodes is not None or max_links is not None
     while True:
@@ -37,8 +38,8 @@ def walk(links: DataFrame, origins: DataFrame, max_nodes: int | None = None, max
         if bounded:
             steps = stage.write(steps, "steps")
         new = steps.groupBy("g", "origin", "node").agg(F.min("path").alias("path"))
-        if reached:
-            seen = reduce(DataFrame.unionByName, [x.select("g", "origin", "node") for x in reached])
+        if keys:
+            seen = reduce(DataFrame.unionByName, keys)
             new = new.join(seen, ["g", "origin", "node"], "left_anti")
         new, n = stage.write(new, "front", n=F.count(F.lit(1)))
         if bounded:
@@ -57,6 +58,9 @@ def walk(links: DataFrame, origins: DataFrame, max_nodes: int | None = None, max
         if not n["n"]:
             break
         reached.append(new)
+        keys.append(new.select("g", "origin", "node"))
+        if len(keys) > 8:
+            keys = [stage.write(reduce(DataFrame.unionByName, keys), "keys")]
         front = new
     if not reached:
         reached = [front.limit(0)]
