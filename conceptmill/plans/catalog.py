@@ -10,6 +10,7 @@ from ..operators import edits, minting, search, walks
 from ..operators.integrity import Integrity, newly_violated
 from ..operators.skos import CoreModel, language
 from ..tables import graphs_of_kind, in_graphs, table
+from .algebra import plain, run
 
 #: the graph and the text that single-graph queries ask about
 GRAPH = "https://store.tamarel.example/graph/tamarel"
@@ -632,3 +633,41 @@ WHERE regexp_full_match(iri, '{_PREFIX}[0-9]+')""",
 def j7_mint_number(spark: SparkSession, folder: str) -> DataFrame:
     iri = minting.mint(table(spark, folder, "quads"), minting.Pattern.parse(_PREFIX + "{n}"))
     return spark.createDataFrame([(iri,)], "iri string")
+
+
+# -- B: SPARQL text over the vocabularies ------------------------------------------------------------
+
+_D = "d AS MATERIALIZED (SELECT DISTINCT s, p, o, o_kind, coalesce(o_lang, '') AS o_lang, o_dt FROM quads WHERE g IN (SELECT g FROM graphs WHERE kind = 'vocabulary'))"
+_T = "'https://vocab.tamarel.example/id/'"
+
+
+def _sparql(name: str, text: str, sql: str | None) -> None:
+    def ask(spark: SparkSession, folder: str) -> DataFrame:
+        form, df = run(vocabularies(spark, folder), text)
+        return plain(df) if form == "select" else df
+
+    ask.__doc__ = text
+    query(name, sql)(ask)
+
+
+_sparql("b1_bgp_join", "SELECT ?c ?p ?l { ?c skos:broader ?p . ?p skos:prefLabel ?l }", f"WITH {_D} SELECT x.s AS c, x.o AS p, y.o AS l FROM d x JOIN d y ON x.o = y.s WHERE x.p = 'skos:broader' AND x.o_kind <> 'literal' AND y.p = 'skos:prefLabel'")
+_sparql("b2_bound_subject", "SELECT ?p ?o { <https://vocab.tamarel.example/id/c_1> ?p ?o }", f"WITH {_D} SELECT p, o FROM d WHERE s = 'https://vocab.tamarel.example/id/c_1'")
+_sparql("b3_bound_literal", "SELECT ?s { ?s skos:prefLabel 'General'@en }", f"WITH {_D} SELECT s FROM d WHERE p = 'skos:prefLabel' AND o = 'General' AND o_lang = 'en' AND o_dt = 'rdf:langString'")
+_sparql("b6_filter_cmp", "SELECT ?s ?n { ?s tam:usageCount ?n FILTER(isNumeric(?n) && ?n >= 1000) }".replace("tam:", "<tam:").replace("<tam:usageCount", "<tam:usageCount>"), f"WITH {_D} SELECT s, o AS n FROM d WHERE p = 'tam:usageCount' AND ((o_dt = 'xsd:integer' AND regexp_full_match(trim(o, chr(32) || chr(9) || chr(10) || chr(13)), '[+-]?[0-9]+') AND TRY_CAST(trim(o, chr(32) || chr(9) || chr(10) || chr(13)) AS BIGINT) >= 1000) OR (o_dt IN ('xsd:decimal', 'xsd:double', 'xsd:float') AND TRY_CAST(trim(o, chr(32) || chr(9) || chr(10) || chr(13)) AS DOUBLE) >= 1000))")
+_sparql("b7_not_exists", "SELECT ?c { ?c a skos:Concept FILTER NOT EXISTS { ?c skos:broader ?p } }", f"WITH {_D} SELECT DISTINCT s AS c FROM d WHERE p = 'rdf:type' AND o = 'skos:Concept' AND s NOT IN (SELECT s FROM d WHERE p = 'skos:broader')")
+_sparql("b8_exists", "SELECT ?c { ?c a skos:Concept FILTER EXISTS { ?c skos:exactMatch ?m } }", f"WITH {_D} SELECT DISTINCT s AS c FROM d WHERE p = 'rdf:type' AND o = 'skos:Concept' AND s IN (SELECT s FROM d WHERE p = 'skos:exactMatch')")
+_sparql("b9_optional", "SELECT ?c ?d { ?c a skos:Concept OPTIONAL { ?c skos:definition ?d } }", f"WITH {_D} SELECT x.s AS c, y.o AS d FROM (SELECT DISTINCT s FROM d WHERE p = 'rdf:type' AND o = 'skos:Concept') x LEFT JOIN (SELECT s, o FROM d WHERE p = 'skos:definition') y ON x.s = y.s")
+_sparql("b10_union", "SELECT ?a ?b { { ?a skos:broader ?b } UNION { ?b skos:narrower ?a } }", f"WITH {_D} SELECT s AS a, o AS b FROM d WHERE p = 'skos:broader' UNION ALL SELECT o, s FROM d WHERE p = 'skos:narrower'")
+_sparql("b11_minus", "SELECT ?c { ?c a skos:Concept MINUS { ?c skos:inScheme ?x } }", f"WITH {_D} SELECT DISTINCT s AS c FROM d WHERE p = 'rdf:type' AND o = 'skos:Concept' AND s NOT IN (SELECT s FROM d WHERE p = 'skos:inScheme')")
+_sparql("b12_graph_var", "SELECT ?g (COUNT(?c) AS ?n) { GRAPH ?g { ?c a skos:Concept } } GROUP BY ?g", "SELECT g, CAST(count(DISTINCT s) AS VARCHAR) AS n FROM quads WHERE g IN (SELECT g FROM graphs WHERE kind = 'vocabulary') AND p = 'rdf:type' AND o = 'skos:Concept' GROUP BY g")
+_sparql("b13_from", f"SELECT ?c FROM <{GRAPH}> {{ ?c a skos:Concept }}", f"SELECT DISTINCT s AS c FROM quads WHERE g = '{GRAPH}' AND p = 'rdf:type' AND o = 'skos:Concept'")
+_sparql("b14_path_plus", "SELECT ?x { ?x skos:broader+ <https://vocab.tamarel.example/id/c_2> }", f"WITH RECURSIVE {_D}, r AS (SELECT s AS x FROM d WHERE p = 'skos:broader' AND o = 'https://vocab.tamarel.example/id/c_2' UNION SELECT d.s FROM r JOIN d ON d.o = r.x WHERE p = 'skos:broader' AND o_kind <> 'literal') SELECT x FROM r")
+_sparql("b15_path_star", "SELECT ?x { <https://vocab.tamarel.example/id/c_2> (^skos:broader|skos:narrower)* ?x }", f"WITH RECURSIVE {_D}, k AS (SELECT o AS a, s AS b FROM d WHERE p = 'skos:broader' AND o_kind <> 'literal' UNION SELECT s, o FROM d WHERE p = 'skos:narrower'), r AS (SELECT 'https://vocab.tamarel.example/id/c_2' AS x UNION SELECT k.b FROM r JOIN k ON k.a = r.x) SELECT x FROM r")
+_sparql("b16_subselect", "SELECT ?c ?n { ?c a skos:Concept { SELECT ?c (COUNT(?l) AS ?n) { ?c skos:altLabel ?l } GROUP BY ?c HAVING(COUNT(?l) > 1) } }", f"WITH {_D} SELECT s AS c, CAST(count(*) AS VARCHAR) AS n FROM d WHERE p = 'skos:altLabel' AND s IN (SELECT s FROM d WHERE p = 'rdf:type' AND o = 'skos:Concept') GROUP BY s HAVING count(*) > 1")
+_sparql("b17_values", "SELECT ?c ?k { VALUES ?k { skos:Concept skos:ConceptScheme } ?c a ?k }", f"WITH {_D} SELECT s AS c, o AS k FROM d WHERE p = 'rdf:type' AND o IN ('skos:Concept', 'skos:ConceptScheme')")
+_sparql("c2_group_having", "SELECT ?p (COUNT(?s) AS ?n) { ?s ?p ?o } GROUP BY ?p HAVING(COUNT(?s) > 100)", f"WITH {_D} SELECT p, CAST(count(*) AS VARCHAR) AS n FROM d GROUP BY p HAVING count(*) > 100")
+_sparql("e1_prefix_search", "SELECT ?c ?l { ?c skos:prefLabel ?l FILTER(STRSTARTS(LCASE(STR(?l)), 'regional')) }", f"WITH {_D} SELECT s AS c, o AS l FROM d WHERE p = 'skos:prefLabel' AND starts_with(lower(o), 'regional')")
+_sparql("d6_order_limit", "SELECT ?c ?l { ?c skos:prefLabel ?l FILTER(LANG(?l) = 'de') } ORDER BY ?l ?c LIMIT 50", f"WITH {_D} SELECT s AS c, o AS l FROM d WHERE p = 'skos:prefLabel' AND o_lang = 'de' ORDER BY o, o_lang, o_dt, s LIMIT 50")
+_sparql("b22_ask", "ASK { ?c a skos:Concept ; skos:exactMatch ?m }", f"WITH {_D} SELECT count(*) > 0 AS answer FROM d x JOIN d y ON x.s = y.s WHERE x.p = 'rdf:type' AND x.o = 'skos:Concept' AND y.p = 'skos:exactMatch'")
+_sparql("b22_construct", "CONSTRUCT { ?b skos:narrower ?a } WHERE { ?a skos:broader ?b }", f"WITH {_D} SELECT DISTINCT o AS s, o_kind AS s_kind, 'skos:narrower' AS p, s AS o, 'iri' AS o_kind, CAST(NULL AS VARCHAR) AS o_lang, '' AS o_dt FROM d WHERE p = 'skos:broader' AND o_kind <> 'literal'")
+_sparql("b22_describe", "DESCRIBE <https://vocab.tamarel.example/id/c_1>", "SELECT DISTINCT s, s_kind, p, o, o_kind, o_lang, o_dt FROM quads WHERE s = 'https://vocab.tamarel.example/id/c_1' AND g IN (SELECT g FROM graphs WHERE kind = 'vocabulary')")
