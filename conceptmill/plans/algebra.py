@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.xsd import canonical
+from ..functions.xsd import canonical, trimmed
 from ..sources.rdf import expanded, expanded_column, shortened_column
 from ..staging import Stage
 from .sparql import Query, QueryRefused, parse, variables
@@ -51,9 +51,12 @@ def number(x: Val) -> tuple[Column, Column, Column]:
         return F.lit(None).cast("double"), F.lit(None).cast("int"), F.lit(None).cast("long")
     t = x.cols[0]
     d, v = t["d"], t["v"]
+    v = trimmed(v)
     whole, dec, dbl = d.isin(*_INTEGERS), d == "xsd:decimal", d.isin("xsd:double", "xsd:float")
-    exact = F.when(whole, canonical(v, "xsd:integer").try_cast("long"))
-    value = F.when(whole, exact.cast("double")).when(dec, canonical(v, "xsd:decimal").try_cast("double")).when(dbl, canonical(v, "xsd:double").try_cast("double"))
+    exact = F.when(whole & v.rlike(r"^[+-]?[0-9]+\z"), v.try_cast("long"))
+    special = F.when(v.isin("INF", "+INF"), float("inf")).when(v == "-INF", float("-inf")).when(v == "NaN", float("nan"))
+    spelled = v.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\z")
+    value = F.when(whole, exact.cast("double")).when(spelled & (dbl | (dec & ~F.lower(v).contains("e"))), v.try_cast("double")).when(dbl, special)
     rank = F.when(whole, 0).when(dec, 1).when(d == "xsd:float", 2).when(d == "xsd:double", 3)
     return value, F.when(value.isNotNull(), rank), exact
 
@@ -754,15 +757,16 @@ def answers(df: DataFrame, cap: int = 100_000, seconds: float = 30.0) -> list:
     """At most ``cap`` rows within ``seconds``; more or longer is refused, never shortened."""
     sc = df.sparkSession.sparkContext
     group = f"sparql-{id(df)}"
-    late = threading.Event()
+    late, done = threading.Event(), threading.Event()
 
-    def stop() -> None:
-        late.set()
-        sc.cancelJobGroup(group)
+    def watch() -> None:
+        if not done.wait(seconds):
+            late.set()
+            while not done.wait(0.2):  # again and again, as a job may start after the deadline
+                sc.cancelJobGroup(group)
 
-    timer = threading.Timer(seconds, stop)
     sc.setJobGroup(group, "query", interruptOnCancel=True)
-    timer.start()
+    threading.Thread(target=watch, daemon=True).start()
     try:
         rows = df.limit(cap + 1).collect()
     except Exception as e:
@@ -770,7 +774,7 @@ def answers(df: DataFrame, cap: int = 100_000, seconds: float = 30.0) -> list:
             raise QueryRefused("QueryTimedOut", f"{seconds} s") from e
         raise
     finally:
-        timer.cancel()
+        done.set()
         sc.setLocalProperty("spark.jobGroup.id", None)
     if len(rows) > cap:
         raise QueryRefused("QueryTooLarge", f"more than {cap} answers")
