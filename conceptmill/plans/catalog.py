@@ -671,3 +671,140 @@ _sparql("d6_order_limit", "SELECT ?c ?l { ?c skos:prefLabel ?l FILTER(LANG(?l) =
 _sparql("b22_ask", "ASK { ?c a skos:Concept ; skos:exactMatch ?m }", f"WITH {_D} SELECT count(*) > 0 AS answer FROM d x JOIN d y ON x.s = y.s WHERE x.p = 'rdf:type' AND x.o = 'skos:Concept' AND y.p = 'skos:exactMatch'")
 _sparql("b22_construct", "CONSTRUCT { ?b skos:narrower ?a } WHERE { ?a skos:broader ?b }", f"WITH {_D} SELECT DISTINCT o AS s, o_kind AS s_kind, 'skos:narrower' AS p, s AS o, 'iri' AS o_kind, CAST(NULL AS VARCHAR) AS o_lang, '' AS o_dt FROM d WHERE p = 'skos:broader' AND o_kind <> 'literal'")
 _sparql("b22_describe", "DESCRIBE <https://vocab.tamarel.example/id/c_1>", "SELECT DISTINCT s, s_kind, p, o, o_kind, o_lang, o_dt FROM quads WHERE s = 'https://vocab.tamarel.example/id/c_1' AND g IN (SELECT g FROM graphs WHERE kind = 'vocabulary')")
+
+
+# -- J and K: edits on concepts that the data name; A: files ------------------------------------------
+
+_EDIT_COLS = ["half", "s", "p", "o", "o_kind", "o_lang", "o_dt"]
+
+
+def _halves(e: edits.Edit) -> DataFrame:
+    """Both halves of an edit in one frame."""
+    a = e.additions.withColumn("half", F.lit("add")).select(*_EDIT_COLS)
+    return a.unionByName(e.removals.withColumn("half", F.lit("remove")).select(*_EDIT_COLS))
+
+
+def _lowest(df: DataFrame, *cols: str) -> tuple:
+    """The lowest row of a frame: which concept an edit query asks about."""
+    row = df.select(*cols).orderBy(*cols).limit(1).collect()
+    return tuple(row[0]) if row else tuple(None for _ in cols)
+
+
+_G = f"v AS MATERIALIZED (SELECT DISTINCT g, s, p, o, o_kind, o_lang, o_dt FROM quads WHERE g = '{GRAPH}'), n AS MATERIALIZED (SELECT DISTINCT g, s, p, o FROM v WHERE o_kind <> 'literal')"
+_C = "c AS MATERIALIZED (SELECT DISTINCT s FROM n WHERE p = 'rdf:type' AND o = 'skos:Concept')"
+_GONE = "gone AS MATERIALIZED (SELECT DISTINCT s FROM v WHERE p = 'owl:deprecated' AND o_kind = 'literal' AND o = 'true' AND o_dt IN ('xsd:boolean', 'xsd:string'))"
+
+
+def _concepts(statements: DataFrame) -> DataFrame:
+    return statements.filter((F.col("p") == "rdf:type") & (F.col("o") == "skos:Concept")).select("s").distinct()
+
+
+def _retired(statements: DataFrame) -> DataFrame:
+    return walks.retirements(statements).filter("retired").select(F.col("node").alias("s"))
+
+
+@query(
+    "j4_deprecate",
+    f"""WITH {_G}, {_C}, {_GONE}, k AS (SELECT min(s) AS s FROM (SELECT s FROM c ANTI JOIN gone USING (s)))
+SELECT 'add' AS half, s, 'owl:deprecated' AS p, 'true' AS o, 'literal' AS o_kind, CAST(NULL AS VARCHAR) AS o_lang, 'xsd:boolean' AS o_dt FROM k""",
+)
+def j4_deprecate(spark: SparkSession, folder: str) -> DataFrame:
+    g = one_graph(spark, folder)
+    (concept,) = _lowest(_concepts(g).join(_retired(g), "s", "left_anti"), "s")
+    return _halves(edits.Editor(g, GRAPH).deprecate(concept))
+
+
+@query(
+    "j5_reinstate",
+    f"""WITH {_G}, {_GONE}, k AS (SELECT min(s) AS s FROM gone)
+SELECT 'remove' AS half, v.s, p, o, o_kind, o_lang, o_dt FROM v JOIN k USING (s) WHERE (p = 'owl:deprecated' AND o_kind = 'literal' AND o = 'true' AND o_dt IN ('xsd:boolean', 'xsd:string'))
+OR (p = 'dcterms:isReplacedBy' AND o_kind <> 'literal')""",
+)
+def j5_reinstate(spark: SparkSession, folder: str) -> DataFrame:
+    g = one_graph(spark, folder)
+    (node,) = _lowest(_retired(g), "s")
+    return _halves(edits.Editor(g, GRAPH).reinstate(node))
+
+
+@query(
+    "j2_merge",
+    f"""WITH {_REL}{_LABEL[len(_V) :]}, w AS MATERIALIZED (SELECT s, p, o, o_kind, o_lang, o_dt FROM v WHERE g = '{GRAPH}'),
+leaf AS (SELECT DISTINCT s FROM n WHERE g = '{GRAPH}' AND p = 'rdf:type' AND o = 'skos:Concept' AND s NOT IN (SELECT s FROM rel WHERE g = '{GRAPH}' AND p = 'skos:narrowerTransitive')),
+k AS (SELECT list_sort(list(s))[1] AS a, list_sort(list(s))[2] AS b FROM leaf),
+about AS (SELECT w.* FROM w, k WHERE s = a OR (o = a AND o_kind <> 'literal')),
+new AS (SELECT DISTINCT CASE WHEN s = a THEN b ELSE s END AS s, p, CASE WHEN o = a AND o_kind <> 'literal' THEN b ELSE o END AS o, o_kind, o_lang, o_dt FROM about, k),
+fresh AS (SELECT new.* FROM new, k WHERE NOT (s = b AND o = b AND o_kind <> 'literal') AND NOT EXISTS (SELECT 1 FROM w x WHERE x.s = new.s AND x.p = new.p AND x.o = new.o AND x.o_kind = new.o_kind AND x.o_lang IS NOT DISTINCT FROM new.o_lang AND x.o_dt = new.o_dt)),
+lab AS (SELECT fresh.*, coalesce(lower(nullif(o_lang, '')), '') AS l FROM fresh, k WHERE s = b AND o_kind = 'literal' AND o_dt IN ('xsd:string', 'rdf:langString') AND p IN ('skos:prefLabel', 'skos:altLabel', 'skos:hiddenLabel')),
+mine AS (SELECT coalesce(lang, '') AS l, text, kind FROM labels, k WHERE node = b AND g = '{GRAPH}'),
+arr AS (SELECT *, row_number() OVER (PARTITION BY l, o ORDER BY p) AS i FROM lab WHERE (l, o) NOT IN (SELECT (l, text) FROM mine)),
+one AS (SELECT *, row_number() OVER (PARTITION BY l, p ORDER BY o) AS j FROM arr WHERE i = 1)
+SELECT 'remove' AS half, s, p, o, o_kind, o_lang, o_dt FROM about
+UNION ALL SELECT 'add', s, p, o, o_kind, o_lang, o_dt FROM fresh, k WHERE NOT (s = b AND o_kind = 'literal' AND o_dt IN ('xsd:string', 'rdf:langString') AND p IN ('skos:prefLabel', 'skos:altLabel', 'skos:hiddenLabel'))
+UNION ALL SELECT 'add', s, CASE WHEN p = 'skos:prefLabel' AND (j > 1 OR l IN (SELECT l FROM mine WHERE kind = 'preferred')) THEN 'skos:altLabel' ELSE p END, o, o_kind, o_lang, o_dt FROM one""",
+)
+def j2_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """The two lowest concepts with nothing below them."""
+    g = one_graph(spark, folder)
+    ed = edits.Editor(g, GRAPH)
+    leaf = _concepts(g).join(ed.model.relations.filter("p = 'skos:narrowerTransitive'").select("s"), "s", "left_anti")
+    a, b = (r["s"] for r in leaf.orderBy("s").limit(2).collect())
+    return _halves(ed.merge(a, b))
+
+
+@query(
+    "j1_move",
+    f"""WITH {_REL.replace("FROM quads WHERE g IN (SELECT g FROM graphs WHERE kind = 'vocabulary')", f"FROM quads WHERE g = '{GRAPH}'")}, {_C},
+one AS (SELECT s, min(o) AS old FROM rel WHERE p = 'skos:broader' GROUP BY s HAVING count(*) = 1),
+x AS (SELECT s, old FROM one WHERE s IN (SELECT s FROM c) AND s NOT IN (SELECT s FROM rel WHERE p = 'skos:narrower') AND (s, old) NOT IN (SELECT (s, o) FROM n WHERE p = 'skos:broaderTransitive') AND (s, old) NOT IN (SELECT (o, s) FROM n WHERE p = 'skos:narrowerTransitive')),
+k AS (SELECT min(s) AS s, arg_min(old, s) AS old FROM x), t AS (SELECT min(c.s) AS top FROM c, k WHERE c.s <> k.s AND c.s <> k.old)
+SELECT half, s, p, o, 'iri' AS o_kind, CAST(NULL AS VARCHAR) AS o_lang, '' AS o_dt FROM (
+  SELECT 'remove' AS half, k.s, 'skos:broader' AS p, old AS o FROM k WHERE (k.s, old) IN (SELECT (s, o) FROM n WHERE p = 'skos:broader')
+  UNION ALL SELECT 'add', k.s, 'skos:broader', top FROM k, t WHERE (k.s, old) IN (SELECT (s, o) FROM n WHERE p = 'skos:broader')
+  UNION ALL SELECT 'remove', old, 'skos:narrower', k.s FROM k WHERE (old, k.s) IN (SELECT (s, o) FROM n WHERE p = 'skos:narrower')
+  UNION ALL SELECT 'add', top, 'skos:narrower', k.s FROM k, t WHERE (old, k.s) IN (SELECT (s, o) FROM n WHERE p = 'skos:narrower'))""",
+)
+def j1_move(spark: SparkSession, folder: str) -> DataFrame:
+    """The lowest leaf with one broader concept, moved below the lowest other concept."""
+    g = one_graph(spark, folder)
+    ed = edits.Editor(g, GRAPH)
+    rel = ed.model.relations
+    one = rel.filter("p = 'skos:broader'").groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("old")).filter("n = 1")
+    stated = ed.statements.filter(F.col("p") == "skos:broaderTransitive").select("s", F.col("o").alias("old")).unionByName(ed.statements.filter(F.col("p") == "skos:narrowerTransitive").select(F.col("o").alias("s"), F.col("s").alias("old")))
+    leaf = one.join(_concepts(g), "s", "left_semi").join(rel.filter("p = 'skos:narrower'").select("s"), "s", "left_anti").join(stated, ["s", "old"], "left_anti")
+    concept, old = _lowest(leaf, "s", "old")
+    (to,) = _lowest(_concepts(g).filter(~F.col("s").isin(concept, old)), "s")
+    return _halves(ed.move(concept, to))
+
+
+@query(
+    "j3_split",
+    f"""WITH {_LABEL.replace("FROM quads WHERE g IN (SELECT g FROM graphs WHERE kind = 'vocabulary')", f"FROM quads WHERE g = '{GRAPH}'")}, {_C}, {_TOP},
+l AS (SELECT node, min(lang) AS lang FROM labels WHERE kind = 'preferred' GROUP BY node HAVING count(DISTINCT coalesce(lang, '')) = 1), k AS (SELECT min(node) AS s, arg_min(lang, node) AS lang FROM l JOIN c ON c.s = l.node),
+x AS (SELECT 'urn:part:1' AS iri, 'First part' AS t UNION ALL SELECT 'urn:part:2', 'Second part')
+SELECT 'add' AS half, iri AS s, 'rdf:type' AS p, 'skos:Concept' AS o, 'iri' AS o_kind, CAST(NULL AS VARCHAR) AS o_lang, '' AS o_dt FROM x
+UNION ALL SELECT 'add', iri, 'skos:prefLabel', t, 'literal', lang, CASE WHEN lang IS NULL THEN 'xsd:string' ELSE 'rdf:langString' END FROM x, k
+UNION ALL SELECT 'add', iri, 'prov:wasDerivedFrom', k.s, 'iri', NULL, '' FROM x, k UNION ALL SELECT 'add', iri, 'skos:broader', k.s, 'iri', NULL, '' FROM x, k
+UNION ALL SELECT 'add', iri, 'skos:inScheme', scheme, 'iri', NULL, '' FROM x, k JOIN ins ON ins.node = k.s""",
+)
+def j3_split(spark: SparkSession, folder: str) -> DataFrame:
+    """The lowest concept with preferred labels in one language, split in two below it."""
+    g = one_graph(spark, folder)
+    ed = edits.Editor(g, GRAPH)
+    one = ed.model.labels.filter("kind = 'preferred'").groupBy(F.col("node").alias("s")).agg(F.count_distinct(F.coalesce("lang", F.lit(""))).alias("n")).filter("n = 1")
+    (concept,) = _lowest(one.join(_concepts(g), "s", "left_semi"), "s")
+    return _halves(ed.split(concept, [("urn:part:1", "First part"), ("urn:part:2", "Second part")], place="below"))
+
+
+@query("a8_nquads_roundtrip", "SELECT DISTINCT g, s, p, o, o_kind, coalesce(o_lang, '') AS o_lang FROM quads")
+def a8_nquads_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """All statements written as N-Quads and read back."""
+    from ..sources import rdf
+    from ..staging import Stage
+
+    path = Stage(spark, "export").folder + "/nquads"
+    q = table(spark, folder, "quads")
+    bare = lambda c, k: F.when(F.col(k) == "bnode", F.concat(F.lit("_:"), F.col(c))).otherwise(F.col(c))
+    rdf.write(q.withColumn("s", bare("s", "s_kind")).withColumn("o", bare("o", "o_kind")), path, "nquads")
+    back = rdf.read(spark, path, "nquads")
+    name = lambda c, k: F.when(F.col(k) == "bnode", F.regexp_replace(c, "^_:", "")).otherwise(F.col(c)).alias(c)
+    return back.select("g", name("s", "s_kind"), "p", name("o", "o_kind"), "o_kind", F.coalesce("o_lang", F.lit("")).alias("o_lang")).distinct()

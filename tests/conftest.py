@@ -10,6 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from conceptmill.session import local_session
 
-    s = local_session(cpus=4, partitions=4, memory="4g")
+    # tiny plans: compiling them would take most of the time
+    s = local_session(cpus=4, partitions=2, memory="4g", **{"spark.sql.codegen.wholeStage": "false", "spark.sql.adaptive.enabled": "false"})
     yield s
     s.stop()
