@@ -105,7 +105,10 @@ class Integrity:
         return _finding(many, "MultipleMemberLists", None, "node", "n").unionByName(_finding(heads.filter("defect is not null"), "DefectiveMemberList", None, "node", "head", "defect"))
 
     def findings(self) -> DataFrame:
-        """(g, kind, severity, rule, node, detail) of all checks.  Walks here are not bounded, so nothing is left unchecked."""
+        """(g, kind, severity, rule, node, detail) of all checks.  Walks here are not bounded, so nothing is left unchecked.
+
+        The closed frames are written once, as most checks read them."""
+        self.m.hold("mappings", "relations", "classes", "literal_forms", "labels")
         return reduce(
             DataFrame.unionByName,
             [

@@ -38,8 +38,18 @@ def first_wins(rows: DataFrame, *key: str) -> DataFrame:
 class CoreModel:
     def __init__(self, statements: DataFrame):
         self.spark = statements.sparkSession
+        self._held: set[str] = set()
         self.facts = statements.select("g", "s", "p", "o", "o_kind", "o_lang", "o_dt").filter("g is not null and s is not null and p is not null and o is not null")
 
+    def hold(self, *names: str) -> CoreModel:
+        """Write the named frames once, in the order given, for work that reads them several times."""
+        stage = Stage(self.spark, "model")
+        for name in names:
+            if name not in self._held:
+                self.__dict__[name] = stage.write(getattr(self, name), name)
+                self._held.add(name)
+        return self
+
     def links(self, *predicates: str) -> DataFrame:
         """(g, s, p, o) with a resource as object, each once."""
         return self.facts.filter(F.col("p").isin(*predicates) & (F.col("o_kind") != "literal")).select("g", "s", "p", "o").distinct()
