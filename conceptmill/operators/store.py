@@ -225,6 +225,10 @@ class Store:
     def propose_retraction(self, g: str, path: str, syntax: str, source: str = "human", agent: str = "editor", note: str | None = None) -> int:
         return self._stage(g, None, rdf.read(self.spark, path, syntax, g), source, agent, note, None)
 
+    def propose_statements(self, g: str, statements: DataFrame, source: str = "import", agent: str = "import", note: str | None = None) -> int:
+        """Additions that are statements already; blank nodes keep their names."""
+        return self._stage(g, statements, None, source, agent, note, None)
+
     def propose_edit(self, g: str, edit: Edit, source: str = "human", agent: str = "editor", note: str | None = None) -> int:
         kind = F.when(F.col("s").startswith("_:"), "bnode").otherwise("iri").alias("s_kind")
         whole = lambda df: df.select("*", kind) if "s_kind" not in df.columns else df
