@@ -130,9 +130,11 @@ def unescaped(text: Column) -> Column:
 def read_lines(lines: DataFrame, graph: str | None = None, value: str = "value") -> DataFrame:
     """Statements of N-Triples or N-Quads lines; lines without a graph get ``graph``.  A malformed line fails the read."""
     t = lines.filter(~F.col(value).rlike(r"^\s*(#.*)?\z")).select(F.col(value).alias("t"))
-    part = lambda i: F.regexp_extract("t", _LINE, i)
-    ok = F.col("t").rlike(_LINE)
-    t = t.select(F.when(ok, F.col("t")).otherwise(F.raise_error(F.concat(F.lit("malformed line: "), F.substring("t", 1, 200)))).alias("t"))
+    # one match per line; a matched line holds no line feed, so its groups can be joined by them
+    groups = F.split(F.regexp_replace("t", _LINE, "\n".join(f"${i}" for i in range(1, 11))), "\n", -1)
+    t = t.select("t", groups.alias("m"))
+    t = t.select("t", F.when(F.size("m") == 10, F.col("m")).otherwise(F.raise_error(F.concat(F.lit("malformed line: "), F.substring("t", 1, 200)))).alias("m"))
+    part = lambda i: F.col("m")[i - 1]
     some = lambda c: F.nullif(c, F.lit(""))
     s_iri, o_iri = part(1), part(4)
     node = F.col("t").rlike(r'^\s*(?:<[^>]*>|_:\S+)\s*<[^>]*>\s*(?:<|_:)')
