@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..staging import Stage
 from ..tables import in_graphs, table
 from .components import groups
+from .lookalikes import look_alikes, spread
 from .mixing import Mixture
 from .normalize import folds, normalized
 from .packing import pack
@@ -103,12 +104,29 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_pieces(spark, folder).filter("piece = 0").select("doc_id")
 
 
+def _form_sql(text: str) -> str:
+    """The form in DuckDB, for the characters of the test tables: width variants, spaces and look-alikes one to one, then composition."""
+    pairs = {chr(n): spread(chr(n)) for n in (*range(0xFF01, 0xFFBF), 0xA0, 0x2007, 0x202F, 0x3000)} | {c: spread(c) for c in look_alikes()}
+    pairs = {c: s for c, s in pairs.items() if len(s) == 1 and s != c}
+    source, target = ("".join(x).replace("'", "''") for x in (pairs, pairs.values()))
+    return f"nfc_normalize(translate(replace(replace(regexp_replace({text}, '\\p{{Cf}}', '', 'g'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '{source}', '{target}'))"
+
+
+_TEXTS_SQL = """t AS MATERIALIZED (SELECT 'quads' AS found_in, row_id AS found_id, CAST(NULL AS BIGINT) AS query_id, o AS text FROM quads
+  WHERE o_kind = 'literal' AND p IN ('skos:prefLabel', 'skos:altLabel', 'skos:hiddenLabel', 'skosxl:literalForm')
+  UNION ALL SELECT 'hits', hit_id, query_id, label FROM hits UNION ALL SELECT 'label_queries', query_id, query_id, folded FROM label_queries)"""
+
 QUERIES = {
     "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p6_containers": p6_containers, "p6_fill": p6_fill,
     "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_pieces": p8_pieces,
 }
 
 SQL = {
+    "p3_forms": f"WITH {_TEXTS_SQL} SELECT found_in, found_id, {_form_sql('text')} AS form FROM t",
+    "p3_found": f"""WITH {_TEXTS_SQL}, f AS MATERIALIZED (SELECT found_in, found_id, query_id, text, lower({_form_sql("text")}) AS fold FROM t WHERE text IS NOT NULL
+  UNION SELECT found_in, found_id, query_id, text, lower({_form_sql("lower(text)")}) FROM t WHERE text IS NOT NULL)
+SELECT DISTINCT q.query_id, x.found_in, x.found_id FROM f q JOIN f x USING (fold) WHERE q.found_in = 'label_queries' AND lower(x.text) <> q.text
+AND (x.found_in = 'quads' OR (x.found_in = 'hits' AND x.query_id = q.query_id))""",
     "p4_found": """WITH RECURSIVE l AS (SELECT s AS a, o AS b FROM quads WHERE p = 'skos:exactMatch' AND o_kind <> 'literal' AND g IN (SELECT g FROM graphs WHERE kind = 'vocabulary')
   UNION SELECT origin, reached FROM exact_clusters WHERE reached IS NOT NULL),
 e AS MATERIALIZED (SELECT a, b FROM l WHERE a <> b UNION SELECT b, a FROM l WHERE a <> b),
