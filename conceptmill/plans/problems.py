@@ -131,6 +131,11 @@ LEFT JOIN low la ON la.g = m.g AND la.concept = m.a LEFT JOIN low ld ON ld.g = m
 WHERE la.lowest IS NULL OR la.lowest = m.a""",
     "p1_paths": f"""WITH RECURSIVE {_TREE}
 SELECT t.*, EXISTS (SELECT 1 FROM low WHERE low.g = t.g AND low.lowest = t.root) AS root_on_loop FROM t""",
+    "p1_concepts": f"""WITH RECURSIVE {_TREE},
+b AS (SELECT m.g, coalesce(la.lowest, m.a) AS concept, count(DISTINCT coalesce(ld.lowest, m.d)) AS n_below FROM m LEFT JOIN low la ON la.g = m.g AND la.concept = m.a
+  LEFT JOIN low ld ON ld.g = m.g AND ld.concept = m.d WHERE coalesce(la.lowest, m.a) <> coalesce(ld.lowest, m.d) GROUP BY ALL)
+SELECT t.g, t.concept, min(depth) AS min_depth, max(depth) AS max_depth, count(*) AS n_paths, count(DISTINCT root) AS n_roots, min(root) AS root, coalesce(any_value(n_below), 0) AS n_below
+FROM t LEFT JOIN b ON b.g = t.g AND b.concept = t.concept GROUP BY t.g, t.concept""",
     "p2_found": """SELECT 'quads' AS found_in, o AS hot_key FROM quads WHERE o IS NOT NULL GROUP BY o HAVING count(*) * 50 >= (SELECT count(*) FROM quads)
 UNION ALL SELECT 'walk', origin FROM walk WHERE origin IS NOT NULL GROUP BY origin HAVING count(*) * 50 >= (SELECT count(*) FROM walk)""",
     "p2_objects": "SELECT o, count(*) AS n_rows, count(DISTINCT s) AS n_subjects FROM quads GROUP BY o",
