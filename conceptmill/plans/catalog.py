@@ -426,7 +426,12 @@ def g11_cycles(spark: SparkSession, folder: str) -> DataFrame:
     return cycles.select("g", "origin", F.array_join("cycle", " > ").alias("cycle"))
 
 
-@query("g13_routes_current")
+@query(
+    "g13_routes_current",
+    f"""WITH RECURSIVE {_ROUTES}, {_RETIRED}, z AS (SELECT g, list(node) AS gone FROM retired WHERE retired GROUP BY g),
+f AS (SELECT t.g, origin, coalesce(list_has_any(path[2:], gone), false) AS w FROM t LEFT JOIN z USING (g) WHERE NOT loop AND (t.g, tip) NOT IN (SELECT (g, a) FROM e))
+SELECT g, origin, count(*) FILTER (NOT w) AS shown, count(*) FILTER (w) AS withheld FROM f GROUP BY g, origin""",
+)
 def g13_routes_current(spark: SparkSession, folder: str) -> DataFrame:
     gone = walks.retirements(vocabularies(spark, folder)).filter("retired")
     paths, _ = walks.routes(model(spark, folder).relations, _origins(spark, folder, "up"))
@@ -524,7 +529,22 @@ _check(
 _check("h12_list_defects", "lists")
 
 
-@query("integrity_roll_call")
+def _roll_call_sql() -> str:
+    from .. import vocabulary as V
+
+    rules = ", ".join(f"('{r}', '{s}', '{a}')" for r, s, a, _ in V.CONDITIONS)
+    terms = ", ".join(f"('{r}', '{x}')" for r, _, _, ts in V.CONDITIONS for x in ts)
+    checks = " UNION ALL ".join(f"SELECT g, rule FROM ({sql}) WHERE severity = 'inconsistent'" for name, sql in SQL.items() if name.startswith("h"))
+    own = "(x LIKE 'skos:%' OR x LIKE 'skosxl:%')"
+    return f"""WITH RECURSIVE {_V}, c(rule, section, authority) AS (VALUES {rules}), k(rule, reaches) AS (VALUES {terms}), bad AS MATERIALIZED ({checks}),
+d AS (SELECT DISTINCT g, s AS term, o AS reaches FROM n WHERE p IN ('rdfs:subPropertyOf', 'rdfs:subClassOf') AND s <> o AND NOT {own.replace("x", "s")}),
+u AS (SELECT * FROM d UNION SELECT u.g, u.term, d.reaches FROM u JOIN d ON d.g = u.g AND d.term = u.reaches),
+b AS (SELECT g, rule, count(*) AS n_violations FROM bad GROUP BY g, rule), w AS (SELECT g, rule, count(*) AS n_caveats FROM u JOIN k USING (reaches) GROUP BY g, rule), gs AS (SELECT DISTINCT g FROM v)
+SELECT gs.g, c.rule, section, authority, CASE WHEN n_violations > 0 THEN 'violated' WHEN n_caveats > 0 THEN 'unchecked' ELSE 'held' END AS verdict, coalesce(n_violations, 0) AS n_violations, coalesce(n_caveats, 0) AS n_caveats
+FROM gs CROSS JOIN c LEFT JOIN b ON b.g = gs.g AND b.rule = c.rule LEFT JOIN w ON w.g = gs.g AND w.rule = c.rule"""
+
+
+@query("integrity_roll_call", _roll_call_sql())
 def integrity_roll_call(spark: SparkSession, folder: str) -> DataFrame:
     return Integrity(model(spark, folder)).roll_call()
 

@@ -24,6 +24,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once per application."""
+    import atexit
     import shutil
     import tempfile
     from pathlib import Path
@@ -32,6 +33,8 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_conceptmill_sent", False):
         return
     here = Path(__file__).resolve().parent
-    made = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="conceptmill-")) / "conceptmill"), "zip", here.parent, here.name)
+    folder = tempfile.mkdtemp(prefix="conceptmill-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    made = shutil.make_archive(str(Path(folder) / "conceptmill"), "zip", here.parent, here.name)
     sc.addPyFile(made)  # the driver serves the file
     sc._conceptmill_sent = True
