@@ -97,9 +97,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_wide(spark: SparkSession, folder: str) -> DataFrame:
-    """Arrays are joined with a unit separator, so that the rows can be compared."""
+    """Arrays are joined with a unit separator and times are written out, so that the rows can be compared."""
     w = wide_table(spark, folder).wide()
-    return w.select(*[F.array_join(F.array_sort(c), "\x1f").alias(c) if t.startswith("array") else F.col(c) for c, t in w.dtypes])
+    shown = {"array<string>": lambda c: F.array_join(F.array_sort(c), "\x1f"), "timestamp": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")}
+    return w.select(*[shown.get(t, F.col)(c).alias(c) for c, t in w.dtypes])
 
 
 def _valid_sql() -> str:
@@ -117,6 +118,33 @@ def _valid_sql() -> str:
   END"""
 
 
+# The columns of the test data's wide table, by type.
+_WIDE = {
+    "xsd:dateTime": {"dcterms:created": "created", "dcterms:modified": "modified", "tam:lastSync": "last_sync"},
+    "xsd:string": {"dcterms:identifier": "identifier", "skos:notation": "notation", "tam:shelfCode": "shelf_code"},
+    "xsd:integer": {"tam:usageCount": "usage_count", "tam:pageCount": "page_count", "tam:legacyId": "legacy_id"},
+    "xsd:decimal": {"tam:confidence": "confidence", "tam:tariff": "tariff"},
+    "xsd:date": {"tam:reviewDate": "review_date", "tam:firstUse": "first_use"},
+    "xsd:boolean": {"owl:deprecated": "deprecated", "tam:locked": "locked"},
+    "xsd:double": {"tam:weight": "weight", "tam:density": "density"},
+    "": {"skos:altLabel": "alt_labels", "skos:hiddenLabel": "hidden_labels", "skos:scopeNote": "scope_notes", "skos:definition": "definitions"},
+}
+
+
+def _wide_sql() -> str:
+    shown = {
+        "xsd:dateTime": "strftime(CAST({} AS TIMESTAMPTZ) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S')", "xsd:string": "{}", "xsd:integer": "CAST({} AS BIGINT)", "xsd:decimal": "CAST({} AS DECIMAL(38, 18))",
+        "xsd:date": "CAST({} AS DATE)", "xsd:boolean": "CAST({} AS BOOLEAN)", "xsd:double": "CAST({} AS DOUBLE)", "": "coalesce({}, '')",
+    }
+    cols = ",\n".join(f"{shown[d].format(f"max(v) FILTER (p = '{p}')")} AS {c}" for d, own in _WIDE.items() for p, c in own.items())
+    here = "g IN (SELECT g FROM graphs WHERE kind = 'vocabulary') AND s IS NOT NULL AND o IS NOT NULL"
+    return f"""WITH c AS (SELECT s, p, {_valid_sql()} AS v FROM quads JOIN wide_columns USING (p) WHERE single_valued AND {here}),
+x AS (SELECT s, p, CASE WHEN count(*) = count(v) AND count(DISTINCT v) = 1 THEN min(v) END AS v, count(*) > count(v) OR count(DISTINCT v) > 1 AS unfit FROM c GROUP BY s, p
+  UNION ALL SELECT s, p, string_agg(DISTINCT o, chr(31) ORDER BY o), false FROM quads JOIN wide_columns USING (p) WHERE NOT single_valued AND {here} GROUP BY s, p
+  UNION ALL SELECT DISTINCT s, NULL, NULL, false FROM quads WHERE p = 'rdf:type' AND o = 'skos:Concept' AND {here})
+SELECT s, {cols}, coalesce(string_agg(p, chr(31) ORDER BY p) FILTER (unfit), '') AS unfit, '' AS long_cells FROM x GROUP BY s"""
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_paths": p1_paths, "p1_descendants": p1_descendants, "p1_concepts": p1_concepts,
     "p2_found": p2_found, "p2_objects": p2_objects, "p2_origins": p2_origins,
@@ -143,4 +171,5 @@ UNION ALL SELECT 'walk', origin FROM walk WHERE origin IS NOT NULL GROUP BY orig
     "p5_found": f"""WITH c AS (SELECT s, p, {_valid_sql()} AS v FROM quads JOIN wide_columns USING (p)
   WHERE single_valued AND s IS NOT NULL AND o IS NOT NULL AND g IN (SELECT g FROM graphs WHERE kind = 'vocabulary'))
 SELECT s, p FROM c GROUP BY s, p HAVING count(*) > count(v) OR count(DISTINCT v) > 1""",
+    "p5_wide": _wide_sql(),
 }
