@@ -61,7 +61,7 @@ def flight(xs: list[float], ps: list[float], seed: int) -> list[float]:
 
 def land(xs: list[float], ps: list[float], before: list[float]) -> list[float]:
     """Decide what flight left of the block with probabilities ``before``, at most two texts, nearest to the expected
-    tokens; then exchange texts, larger ones first, while that brings the tokens nearer."""
+    tokens; then exchange texts, larger ones first, while that brings the tokens nearer, or fill the block anew if that does."""
     open_ = [i for i, p in enumerate(ps) if 0 < p < 1]
     want = sum(x * p for x, p in zip(xs, before))
     fixed = sum(x for x, p in zip(xs, ps) if p == 1)
@@ -75,7 +75,13 @@ def land(xs: list[float], ps: list[float], before: list[float]) -> list[float]:
         turned = over - xs[i] if out[i] else over + xs[i]
         if abs(turned) < abs(over):
             out[i], over = 1 - out[i], turned
-    return out
+    # a text much larger than what is wanted of the block leaves nothing to exchange; then the block is filled anew
+    room = want - sum(x for x, p in zip(xs, before) if p == 1)
+    anew = [p if p in (0, 1) else 0.0 for p in before]
+    for i in sorted((i for i, p in enumerate(before) if 0 < p < 1), key=lambda i: (-xs[i], i)):
+        if xs[i] <= room:
+            anew[i], room = 1.0, room - xs[i]
+    return anew if abs(room) < abs(over) else out
 
 
 @dataclass(frozen=True)

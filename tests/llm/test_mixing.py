@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from conceptmill.llm.mixing import Mixture, flight, shares
+from conceptmill.llm.mixing import Mixture, flight, land, shares
 
 
 def test_flight_keeps_both_totals():
@@ -17,6 +17,16 @@ def test_flight_keeps_both_totals():
     assert sum(0 < p < 1 for p in alike) <= 2
 
 
+def test_landing():
+    xs, before = [13411.0, 8926.0, 869.0, 851.0, 787.0, 731.0, 60.0, 30.0], [0.4] * 8
+    got = land(xs, flight(xs, before, 3), before)
+    assert set(got) <= {0.0, 1.0}
+    off = lambda pick: abs(sum(x for x, p in zip(xs, pick) if p) - 0.4 * sum(xs))
+    best = min(off([k >> i & 1 for i in range(8)]) for k in range(256))
+    assert off(got) <= 2 * best
+    assert land([5.0, 7.0], [0.0, 1.0], [0.0, 1.0]) == [0.0, 1.0]
+
+
 def test_shares():
     got = {s.source: s for s in shares({"a": (1000, 10), "b": (100, 5)}, [("a", 0.5, 1), ("b", 0.5, 3), ("none", 0.2, 1), ("bad", None, 1)])}
     assert set(got) == {"a", "b", "none"}
