@@ -18,12 +18,13 @@ def test_flight_keeps_both_totals():
 
 
 def test_landing():
-    xs, before = [13411.0, 8926.0, 869.0, 851.0, 787.0, 731.0, 60.0, 30.0], [0.4] * 8
+    """One text is larger than all that is wanted of the block."""
+    rnd = random.Random(4)
+    xs = [13411.0, 8926.0] + [float(rnd.randrange(5, 900)) for _ in range(200)]
+    before = [0.08] * len(xs)
     got = land(xs, flight(xs, before, 3), before)
     assert set(got) <= {0.0, 1.0}
-    off = lambda pick: abs(sum(x for x, p in zip(xs, pick) if p) - 0.4 * sum(xs))
-    best = min(off([k >> i & 1 for i in range(8)]) for k in range(256))
-    assert off(got) <= 2 * best
+    assert abs(sum(x for x, p in zip(xs, got) if p) - 0.08 * sum(xs)) < 50
     assert land([5.0, 7.0], [0.0, 1.0], [0.0, 1.0]) == [0.0, 1.0]
 
 
