@@ -28,6 +28,28 @@ def test_landing():
     assert land([5.0, 7.0], [0.0, 1.0], [0.0, 1.0]) == [0.0, 1.0]
 
 
+def test_landing_keeps_the_number_of_texts():
+    """Texts of 1 to 4 000 tokens in one block; neither the number of texts nor the chance of short ones gives way to the tokens."""
+    short = long = 0
+    for seed in range(60):
+        rnd = random.Random(seed)
+        xs = sorted(float(int(rnd.paretovariate(0.9) * 20) % 4000 + 1) for _ in range(400))
+        before = [0.13] * len(xs)
+        got = land(xs, flight(xs, before, seed), before)
+        assert set(got) <= {0.0, 1.0} and abs(sum(got) - sum(before)) < 1
+        assert abs(sum(x for x, p in zip(xs, got) if p) - 0.13 * sum(xs)) < 2
+        short, long = short + sum(got[:200]), long + sum(got[200:])
+    assert 0.11 < short / 12000 < 0.15 and 0.11 < long / 12000 < 0.15
+
+
+def test_landing_of_too_few_texts():
+    """0.3 texts are expected, and no single text holds the tokens wanted: two do."""
+    xs = [351.0, 844.0, 290.0, 120.0, 9000.0, 8000.0, 1100.0, 200.0, 60.0, 55.0]
+    before = [1195.0 / sum(xs)] * len(xs)
+    got = land(xs, flight(xs, before, 2), before)
+    assert sum(got) == 2 and sum(x for x, p in zip(xs, got) if p) == 1195
+
+
 def test_shares():
     got = {s.source: s for s in shares({"a": (1000, 10), "b": (100, 5)}, [("a", 0.5, 1), ("b", 0.5, 3), ("none", 0.2, 1), ("bad", None, 1)])}
     assert set(got) == {"a", "b", "none"}
@@ -54,6 +76,19 @@ def test_mixture(spark, block):
     assert any(reached[s]["most_copies"] == cap[s] for s in cap)
 
 
+@pytest.mark.parametrize("block", [50, 100_000])
+def test_number_of_texts(spark, block):
+    """A source whose tokens lie in a few long texts still gives its expected number of texts."""
+    rnd = random.Random(2)
+    rows = [(i, "ab"[i % 5 == 0], rnd.choice([3, 5, 8, 13, 400 + i])) for i in range(2000)]
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.7, 2)], "source string, target_share double, max_repeats int")
+    m = Mixture(spark.createDataFrame(rows, "doc long, source string, n long"), "doc", "n", "source", targets, block_rows=block)
+    reached = m.reached().collect()
+    assert len(reached) == 2
+    for r in reached:
+        assert abs(r["n_copies"] - r["expected_copies"]) < 1 and r["reached_share"] == pytest.approx(r["target_share"], abs=0.001)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc long, source string, n long")
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
