@@ -7,8 +7,8 @@ null space of two constraints, the source's tokens and its number of texts, unti
 are decided.  Blocks are bounded and hashed by text, so a large source is spread over many tasks; the
 undecided texts, with some held open for the landing, go on to the next level, until one block per source is left.  Its last two texts are landed with
 the source's number of texts within 1 of the expected one; texts of that block are exchanged one for one while that brings
-the tokens nearer.  Where no texts of that number hold the tokens, as few texts as possible are added or left out, since the shares are
-what is asked for; ``reached()`` has the expected number beside the reached one.
+the tokens nearer.  Where no texts of that number hold the tokens, as few texts as a few attempts find are added or left out, since the
+shares are what is asked for; ``reached()`` has the expected number beside the reached one.
 
 Random directions are seeded by block, so a repeated task decides alike.
 

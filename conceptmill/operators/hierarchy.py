@@ -20,7 +20,8 @@ Defined cases
 -------------
 Rows with a null scope, child or parent are no links.  Repeated rows count once.  A node linked to
 itself is a loop of one.  Loops are contracted to their lowest member: paths and descendant lists name
-that member, and ``loops()`` lists all members.  An empty table gives empty results.  Extra columns are
+that member, and ``loops()`` lists all members.  ``member_paths()``, ``member_descendants()`` and
+``member_concepts()`` have rows for every member, with what holds for its loop.  An empty table gives empty results.  Extra columns are
 ignored, whatever their names.
 """
 
@@ -220,6 +221,23 @@ class Hierarchy:
         below = self.nodes.select(F.col("id").alias("d"), F.col("name").alias("below"))
         return pairs.unionByName(own).join(names, "a").join(below, "d").select("g", "concept", "below", "on_loop")
 
+    def member_descendants(self) -> DataFrame:
+        """(g, concept, below, concept_on_loop, on_loop): one row for each concept below another, every member of
+        a loop being a concept of its own on both sides; all members of a loop stand below each of them."""
+        pairs = self.below_ids().join(self._loops.select(F.col("lowest").alias("d"), "id"), "d", "left")
+        pairs = pairs.select(F.col("a").alias("id"), F.coalesce("id", "d").alias("d"), F.col("id").isNotNull().alias("below_on_loop"))
+        own = self._loops.select(F.col("lowest").alias("id"), F.col("id").alias("d"), F.lit(True).alias("below_on_loop"))
+        names = self.nodes.select("id", F.col("scope").alias("g"), F.col("name").alias("concept"))
+        below = self.nodes.select(F.col("id").alias("d"), F.col("name").alias("below"))
+        rows = self._for_members(pairs.unionByName(own)).join(names, "id").join(below, "d")
+        return rows.select("g", "concept", "below", F.col("on_loop").alias("concept_on_loop"), F.col("below_on_loop").alias("on_loop"))
+
+    def _for_members(self, df: DataFrame) -> DataFrame:
+        """Rows of a loop's lowest member (``id``) for each of its members; ``on_loop`` marks them."""
+        loops = self._loops.select(F.col("lowest").alias("id"), F.col("id").alias("member"))
+        own = [c for c in df.columns if c != "id"]
+        return df.join(loops, "id", "left").select(F.coalesce("member", "id").alias("id"), *own, F.col("member").isNotNull().alias("on_loop"))
+
     # -- paths: downward messages ------------------------------------------------------------
 
     def path_ids(self) -> DataFrame:
@@ -274,31 +292,33 @@ class Hierarchy:
 
     def paths(self) -> DataFrame:
         """(g, concept, path, depth, root, root_on_loop): one row for each full path to the top."""
+        return self._path_rows(self.path_ids())
+
+    def member_paths(self) -> DataFrame:
+        """(g, concept, path, depth, root, root_on_loop, on_loop): as ``paths()``, with the paths of a loop's lowest
+        member for each of its members."""
+        return self._path_rows(self._for_members(self.path_ids()), "on_loop")
+
+    def _path_rows(self, ids: DataFrame, *more: str) -> DataFrame:
         looped = self._loops.select(F.col("lowest").alias("id")).distinct()
         root = self.nodes.join(looped, "id", "left_semi").select(F.col("scope").alias("g"), F.col("name").alias("root"), F.lit(True).alias("root_on_loop"))
         return (
-            self.path_ids()
-            .join(self.nodes, "id")
+            ids.join(self.nodes, "id")
             .select(
                 F.col("scope").alias("g"),
                 F.col("name").alias("concept"),
                 F.array_join("path", " > ").alias("path"),
                 (F.size("path") - 1).alias("depth"),
                 F.col("path")[0].alias("root"),
+                *more,
             )
             .join(root, ["g", "root"], "left")
-            .select("g", "concept", "path", "depth", "root", F.coalesce("root_on_loop", F.lit(False)).alias("root_on_loop"))
+            .select("g", "concept", "path", "depth", "root", F.coalesce("root_on_loop", F.lit(False)).alias("root_on_loop"), *more)
         )
 
     def concepts(self) -> DataFrame:
         """(g, concept, min_depth, max_depth, n_paths, n_roots, root, n_below): a row for each concept, loops contracted."""
-        by = self.path_ids().groupBy("id").agg(
-            F.min(F.size("path") - 1).alias("min_depth"),
-            F.max(F.size("path") - 1).alias("max_depth"),
-            F.count(F.lit(1)).alias("n_paths"),
-            F.count_distinct(F.col("path")[0]).alias("n_roots"),
-            F.min(F.col("path")[0]).alias("root"),
-        )
+        by = self._path_counts()
         size = self.below_ids().groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n_below"))
         return (
             by.join(size, "id", "left")
@@ -309,6 +329,20 @@ class Hierarchy:
             )
         )
 
+    def _path_counts(self) -> DataFrame:
+        return self.path_ids().groupBy("id").agg(
+            F.min(F.size("path") - 1).alias("min_depth"),
+            F.max(F.size("path") - 1).alias("max_depth"),
+            F.count(F.lit(1)).alias("n_paths"),
+            F.count_distinct(F.col("path")[0]).alias("n_roots"),
+            F.min(F.col("path")[0]).alias("root"),
+        )
+
+    def member_concepts(self) -> DataFrame:
+        """(g, concept, min_depth, max_depth, n_paths, n_roots, root, on_loop): a row for each concept, members of loops too."""
+        rows = self._for_members(self._path_counts()).join(self.nodes, "id")
+        return rows.select(F.col("scope").alias("g"), F.col("name").alias("concept"), "min_depth", "max_depth", "n_paths", "n_roots", "root", "on_loop")
+
 
 class _Top:
     """The last links in memory: loops found by depth-first search and contracted."""

@@ -37,6 +37,21 @@ def p1_concepts(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy(spark, folder).concepts()
 
 
+# The three above have one row set for each loop, under its lowest member, as their SQL has; these have one for each member.
+
+
+def p1_member_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return hierarchy(spark, folder).member_paths()
+
+
+def p1_member_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    return hierarchy(spark, folder).member_descendants()
+
+
+def p1_member_concepts(spark: SparkSession, folder: str) -> DataFrame:
+    return hierarchy(spark, folder).member_concepts()
+
+
 _LINKS = """e AS MATERIALIZED (SELECT DISTINCT g, CASE WHEN up THEN s ELSE o END AS c, CASE WHEN up THEN o ELSE s END AS p FROM (
   SELECT g, s, o, p IN ('skos:broader', 'skos:broaderTransitive') AS up FROM quads
   WHERE o_kind <> 'literal' AND g IN (SELECT g FROM graphs WHERE kind = 'vocabulary')
@@ -147,6 +162,7 @@ SELECT s, {cols}, coalesce(string_agg(p, chr(31) ORDER BY p) FILTER (unfit), '')
 
 QUERIES = {
     "p1_found": p1_found, "p1_paths": p1_paths, "p1_descendants": p1_descendants, "p1_concepts": p1_concepts,
+    "p1_member_paths": p1_member_paths, "p1_member_descendants": p1_member_descendants, "p1_member_concepts": p1_member_concepts,
     "p2_found": p2_found, "p2_objects": p2_objects, "p2_origins": p2_origins,
     "p5_found": p5_found, "p5_wide": p5_wide,
 }
@@ -164,6 +180,15 @@ b AS (SELECT m.g, coalesce(la.lowest, m.a) AS concept, count(DISTINCT coalesce(l
   LEFT JOIN low ld ON ld.g = m.g AND ld.concept = m.d WHERE coalesce(la.lowest, m.a) <> coalesce(ld.lowest, m.d) GROUP BY ALL)
 SELECT t.g, t.concept, min(depth) AS min_depth, max(depth) AS max_depth, count(*) AS n_paths, count(DISTINCT root) AS n_roots, min(root) AS root, coalesce(any_value(n_below), 0) AS n_below
 FROM t LEFT JOIN b ON b.g = t.g AND b.concept = t.concept GROUP BY t.g, t.concept""",
+    "p1_member_paths": f"""WITH RECURSIVE {_TREE}
+SELECT t.g, coalesce(l.concept, t.concept) AS concept, path, depth, root, EXISTS (SELECT 1 FROM low WHERE low.g = t.g AND low.lowest = t.root) AS root_on_loop, l.concept IS NOT NULL AS on_loop
+FROM t LEFT JOIN low l ON l.g = t.g AND l.lowest = t.concept""",
+    "p1_member_descendants": f"""WITH RECURSIVE {_LINKS}
+SELECT m.g, m.a AS concept, m.d AS below, la.concept IS NOT NULL AS concept_on_loop, ld.concept IS NOT NULL AS on_loop FROM m
+LEFT JOIN low la ON la.g = m.g AND la.concept = m.a LEFT JOIN low ld ON ld.g = m.g AND ld.concept = m.d""",
+    "p1_member_concepts": f"""WITH RECURSIVE {_TREE}
+SELECT t.g, coalesce(l.concept, t.concept) AS concept, min(depth) AS min_depth, max(depth) AS max_depth, count(*) AS n_paths, count(DISTINCT root) AS n_roots, min(root) AS root, l.concept IS NOT NULL AS on_loop
+FROM t LEFT JOIN low l ON l.g = t.g AND l.lowest = t.concept GROUP BY t.g, t.concept, l.concept""",
     "p2_found": """SELECT 'quads' AS found_in, o AS hot_key FROM quads WHERE o IS NOT NULL GROUP BY o HAVING count(*) * 50 >= (SELECT count(*) FROM quads)
 UNION ALL SELECT 'walk', origin FROM walk WHERE origin IS NOT NULL GROUP BY origin HAVING count(*) * 50 >= (SELECT count(*) FROM walk)""",
     "p2_objects": "SELECT o, count(*) AS n_rows, count(DISTINCT s) AS n_subjects FROM quads GROUP BY o",

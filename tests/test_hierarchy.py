@@ -92,3 +92,27 @@ def test_random(spark, tail):
     assert (loops, below, paths) == want
     size = {(r["g"], r["concept"]): r["n_below"] for r in h.concepts().collect()}
     assert len(size) == len({(p[0], p[1]) for p in want[2]})
+
+
+@pytest.mark.parametrize("tail", [0, 100_000])
+def test_members_of_loops(spark, tail):
+    """Each member of a loop has the paths, depths, roots and descendants of its loop."""
+    links = CASES["loops"] + [("k", *x[1:]) for x in CASES["two loops linked"]]
+    h = Hierarchy(spark.createDataFrame([(*x, "other", "clash") for x in links], SCHEMA), tail_links=tail)
+    loops, _, paths = brute(links)
+    members = {}
+    for g, low, concept in loops:
+        members.setdefault((g, low), []).append(concept)
+    want = sorted((g, m, *rest, (g, c) in members) for g, c, *rest in paths for m in members.get((g, c), [c]))
+    assert sorted(tuple(r) for r in h.member_paths().collect()) == want
+    below = {(g, p, c) for g, c, p in links}
+    while more := {(g, a, d) for g, a, b in below for h_, c, d in below if (g, b) == (h_, c)} - below:
+        below |= more
+    on = {(g, m) for g, _, m in loops}
+    assert sorted(tuple(r) for r in h.member_descendants().collect()) == sorted((g, a, d, (g, a) in on, (g, d) in on) for g, a, d in below)
+    concepts = h.member_concepts().collect()
+    ends = {(g, x) for g, *two in links for x in two}
+    assert sorted((r["g"], r["concept"]) for r in concepts) == sorted(ends)
+    for r in concepts:
+        own = [w for w in want if w[:2] == (r["g"], r["concept"])]
+        assert (r["min_depth"], r["max_depth"], r["n_paths"], r["on_loop"]) == (min(w[3] for w in own), max(w[3] for w in own), len(own), (r["g"], r["concept"]) in on)
