@@ -339,9 +339,17 @@ class Hierarchy:
         )
 
     def member_concepts(self) -> DataFrame:
-        """(g, concept, min_depth, max_depth, n_paths, n_roots, root, on_loop): a row for each concept, members of loops too."""
-        rows = self._for_members(self._path_counts()).join(self.nodes, "id")
-        return rows.select(F.col("scope").alias("g"), F.col("name").alias("concept"), "min_depth", "max_depth", "n_paths", "n_roots", "root", "on_loop")
+        """(g, concept, min_depth, max_depth, n_paths, n_roots, root, n_below, on_loop): a row for each concept, members of
+        loops too.  ``n_below`` counts every concept below, so it is the concept's rows in ``member_descendants()``."""
+        loop = self._loops.groupBy("lowest").agg(F.count(F.lit(1)).alias("members"))
+        below = self.below_ids().join(loop.withColumnRenamed("lowest", "d"), "d", "left").select(F.col("a").alias("id"), F.coalesce("members", F.lit(1)).alias("n"))
+        own = loop.select(F.col("lowest").alias("id"), F.col("members").alias("n"))
+        size = below.unionByName(own).groupBy("id").agg(F.sum("n").alias("n_below"))
+        rows = self._for_members(self._path_counts().join(size, "id", "left")).join(self.nodes, "id")
+        return rows.select(
+            F.col("scope").alias("g"), F.col("name").alias("concept"), "min_depth", "max_depth", "n_paths", "n_roots", "root",
+            F.coalesce("n_below", F.lit(0)).alias("n_below"), "on_loop",
+        )
 
 
 class _Top:

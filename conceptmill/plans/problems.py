@@ -186,9 +186,10 @@ FROM t LEFT JOIN low l ON l.g = t.g AND l.lowest = t.concept""",
     "p1_member_descendants": f"""WITH RECURSIVE {_LINKS}
 SELECT m.g, m.a AS concept, m.d AS below, la.concept IS NOT NULL AS concept_on_loop, ld.concept IS NOT NULL AS on_loop FROM m
 LEFT JOIN low la ON la.g = m.g AND la.concept = m.a LEFT JOIN low ld ON ld.g = m.g AND ld.concept = m.d""",
-    "p1_member_concepts": f"""WITH RECURSIVE {_TREE}
-SELECT t.g, coalesce(l.concept, t.concept) AS concept, min(depth) AS min_depth, max(depth) AS max_depth, count(*) AS n_paths, count(DISTINCT root) AS n_roots, min(root) AS root, l.concept IS NOT NULL AS on_loop
-FROM t LEFT JOIN low l ON l.g = t.g AND l.lowest = t.concept GROUP BY t.g, t.concept, l.concept""",
+    "p1_member_concepts": f"""WITH RECURSIVE {_TREE}, b AS (SELECT g, a, count(*) AS n_below FROM m GROUP BY g, a)
+SELECT t.g, coalesce(l.concept, t.concept) AS concept, min(depth) AS min_depth, max(depth) AS max_depth, count(*) AS n_paths, count(DISTINCT root) AS n_roots, min(root) AS root,
+coalesce(any_value(n_below), 0) AS n_below, l.concept IS NOT NULL AS on_loop
+FROM t LEFT JOIN low l ON l.g = t.g AND l.lowest = t.concept LEFT JOIN b ON b.g = t.g AND b.a = coalesce(l.concept, t.concept) GROUP BY t.g, t.concept, l.concept""",
     "p2_found": """SELECT 'quads' AS found_in, o AS hot_key FROM quads WHERE o IS NOT NULL GROUP BY o HAVING count(*) * 50 >= (SELECT count(*) FROM quads)
 UNION ALL SELECT 'walk', origin FROM walk WHERE origin IS NOT NULL GROUP BY origin HAVING count(*) * 50 >= (SELECT count(*) FROM walk)""",
     "p2_objects": "SELECT o, count(*) AS n_rows, count(DISTINCT s) AS n_subjects FROM quads GROUP BY o",

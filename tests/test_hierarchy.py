@@ -116,3 +116,12 @@ def test_members_of_loops(spark, tail):
     for r in concepts:
         own = [w for w in want if w[:2] == (r["g"], r["concept"])]
         assert (r["min_depth"], r["max_depth"], r["n_paths"], r["on_loop"]) == (min(w[3] for w in own), max(w[3] for w in own), len(own), (r["g"], r["concept"]) in on)
+
+
+def test_number_below_counts_members(spark):
+    """x is above a loop of three and a leaf; the loop's members are below each of them."""
+    links = [("g", "a", "b"), ("g", "b", "c"), ("g", "c", "a"), ("g", "c", "x"), ("g", "leaf", "b"), ("g", "self", "self"), ("g", "x", "top")]
+    for tail in (0, 100_000):
+        h = Hierarchy(spark.createDataFrame([(*x, "other", "clash") for x in links], SCHEMA), tail_links=tail)
+        got = {r["concept"]: r["n_below"] for r in h.member_concepts().collect()}
+        assert got == {"top": 5, "x": 4, "a": 4, "b": 4, "c": 4, "leaf": 0, "self": 1}
