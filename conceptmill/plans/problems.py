@@ -118,6 +118,11 @@ def p5_wide(spark: SparkSession, folder: str) -> DataFrame:
     return w.select(*[shown.get(t, F.col)(c).alias(c) for c, t in w.dtypes])
 
 
+def p5_long_values(spark: SparkSession, folder: str) -> DataFrame:
+    """The values of the cells that are null in p5_wide because they hold too many."""
+    return wide_table(spark, folder).long_values()
+
+
 def _valid_sql() -> str:
     zone = r"(Z|[+-](0[0-9]|1[0-3]):[0-5][0-9]|[+-]14:00)?"
     t = r"trim(o, chr(32) || chr(9) || chr(10) || chr(13))"
@@ -164,7 +169,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_paths": p1_paths, "p1_descendants": p1_descendants, "p1_concepts": p1_concepts,
     "p1_member_paths": p1_member_paths, "p1_member_descendants": p1_member_descendants, "p1_member_concepts": p1_member_concepts,
     "p2_found": p2_found, "p2_objects": p2_objects, "p2_origins": p2_origins,
-    "p5_found": p5_found, "p5_wide": p5_wide,
+    "p5_found": p5_found, "p5_wide": p5_wide, "p5_long_values": p5_long_values,
 }
 
 SQL = {
@@ -198,4 +203,7 @@ UNION ALL SELECT 'walk', origin FROM walk WHERE origin IS NOT NULL GROUP BY orig
   WHERE single_valued AND s IS NOT NULL AND o IS NOT NULL AND g IN (SELECT g FROM graphs WHERE kind = 'vocabulary'))
 SELECT s, p FROM c GROUP BY s, p HAVING count(*) > count(v) OR count(DISTINCT v) > 1""",
     "p5_wide": _wide_sql(),
+    "p5_long_values": """WITH v AS MATERIALIZED (SELECT DISTINCT s, p, o AS v FROM quads JOIN wide_columns USING (p)
+  WHERE NOT single_valued AND s IS NOT NULL AND o IS NOT NULL AND g IN (SELECT g FROM graphs WHERE kind = 'vocabulary'))
+SELECT s, p, v FROM v WHERE (s, p) IN (SELECT (s, p) FROM v GROUP BY s, p HAVING count(*) > 10000)""",
 }

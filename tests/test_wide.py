@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from conceptmill.functions.xsd import canonical
 from conceptmill.operators.wide import Attribute, WideTable
+from conceptmill.plans import problems
 
 SAME = {
     "xsd:boolean": [[" true", "1"], ["false", "0\n"]],
@@ -85,3 +86,22 @@ def test_blocks_are_joined_without_a_shuffle(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "s string, p string, o string")
     assert WideTable(df, ATTRS).wide().collect() == []
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    """One concept with a cell of 10 001 values and one of 2."""
+    rows = [("g", "a", "skos:altLabel", f"v{i}") for i in range(10_001)] + [("g", "b", "skos:altLabel", x) for x in "xyy"] + [("other", "b", "skos:altLabel", "z")]
+    rows += [("g", "a", "tam:tariff", "1" * 21), ("g", "b", "tam:tariff", "2.50")]
+    spark.createDataFrame(rows, "g string, s string, p string, o string").write.parquet(f"{tmp_path}/quads.parquet")
+    spark.createDataFrame([("g", "vocabulary"), ("other", "candidate")], "g string, kind string").write.parquet(f"{tmp_path}/graphs.parquet")
+    columns = [("skos:altLabel", "alt_labels", "xsd:string", False), ("tam:tariff", "tariff", "xsd:decimal", True)]
+    spark.createDataFrame(columns, "p string, column_name string, datatype string, single_valued boolean").write.parquet(f"{tmp_path}/wide_columns.parquet")
+    return str(tmp_path)
+
+
+def test_long_cells_have_a_query(spark, folder):
+    wide = {r["s"]: r for r in problems.wide_table(spark, folder).wide().collect()}
+    assert wide["a"]["alt_labels"] is None and wide["a"]["long_cells"] == ["skos:altLabel"] and wide["b"]["alt_labels"] == ["x", "y"]
+    got = [tuple(r) for r in problems.QUERIES["p5_long_values"](spark, folder).collect()]
+    assert sorted(got) == sorted(("a", "skos:altLabel", f"v{i}") for i in range(10_001))
