@@ -106,3 +106,10 @@ def typed(canon: Column, datatype: str) -> Column:
             ok = sec.between(-62135596800, 253402300799)
             return F.when(ok, F.timestamp_micros(sec * 1_000_000 + micro).cast("timestamp"))
     raise ValueError(f"unknown datatype {datatype}")
+
+
+def inexact(canon: Column, datatype: str) -> Column:
+    """Whether ``typed`` gives null for a canonical string, or drops digits: decimals keep 18 places, times 6."""
+    places = {"xsd:decimal": 18, "xsd:dateTime": 6}.get(datatype)
+    none = typed(canon, datatype).isNull()
+    return none if places is None else none | canon.rlike(rf"\.[0-9]{{{places + 1}}}")

@@ -12,7 +12,8 @@ Statements with a null subject, predicate or object are ignored.  Repeated rows
 invalid value, or two different ones, is null in its typed column and named in ``unfit``.  Multi-valued
 attributes become sorted arrays of distinct strings; a cell of more than ``max_values`` values would make
 one row unbounded, so it is null in the array column, named in ``long_cells``, and all its values are
-rows of ``long_values()``.  Attributes that ``columns`` does not list are left out.  Entities are the subjects
+rows of ``long_values()``.  A valid value that its typed column cannot hold, or not exactly, is a row of
+``untyped()``.  Attributes that ``columns`` does not list are left out.  Entities are the subjects
 of type ``entity_type`` and all others with a listed attribute.  Empty tables give no rows.
 """
 
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.xsd import canonical, typed
+from ..functions.xsd import canonical, inexact, typed
 from ..staging import Stage
 
 _NO_BLOCK = -1
@@ -116,6 +117,15 @@ class WideTable:
         """(s, p): cells that cannot be filled with one value."""
         return self.wide().select("s", F.explode("unfit").alias("p"))
 
+    def untyped(self) -> DataFrame:
+        """(s, p, canonical): cells with one valid value that is null or rounded in its typed column.  Times are
+        canonical as seconds from 1970, years of more than 12 digits as written."""
+        lost = F.lit(False)
+        for a in self.attrs:
+            if a.single:
+                lost = F.when(F.col("p") == a.p, inexact(F.col("v"), a.datatype)).otherwise(lost)
+        return self.spark.table(self._table).filter(F.col("v").isNotNull() & lost).select("s", "p", F.col("v").alias("canonical"))
+
     def long_values(self) -> DataFrame:
         """(s, p, v): all values of the cells too long for one row."""
         if self._long is None:

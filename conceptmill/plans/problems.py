@@ -123,6 +123,11 @@ def p5_long_values(spark: SparkSession, folder: str) -> DataFrame:
     return wide_table(spark, folder).long_values()
 
 
+def p5_untyped(spark: SparkSession, folder: str) -> DataFrame:
+    """The cells whose one valid value p5_wide cannot hold exactly, with the value's canonical text."""
+    return wide_table(spark, folder).untyped()
+
+
 def _valid_sql() -> str:
     zone = r"(Z|[+-](0[0-9]|1[0-3]):[0-5][0-9]|[+-]14:00)?"
     t = r"trim(o, chr(32) || chr(9) || chr(10) || chr(13))"
@@ -169,7 +174,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_paths": p1_paths, "p1_descendants": p1_descendants, "p1_concepts": p1_concepts,
     "p1_member_paths": p1_member_paths, "p1_member_descendants": p1_member_descendants, "p1_member_concepts": p1_member_concepts,
     "p2_found": p2_found, "p2_objects": p2_objects, "p2_origins": p2_origins,
-    "p5_found": p5_found, "p5_wide": p5_wide, "p5_long_values": p5_long_values,
+    "p5_found": p5_found, "p5_wide": p5_wide, "p5_long_values": p5_long_values, "p5_untyped": p5_untyped,
 }
 
 SQL = {

@@ -105,3 +105,17 @@ def test_long_cells_have_a_query(spark, folder):
     assert wide["a"]["alt_labels"] is None and wide["a"]["long_cells"] == ["skos:altLabel"] and wide["b"]["alt_labels"] == ["x", "y"]
     got = [tuple(r) for r in problems.QUERIES["p5_long_values"](spark, folder).collect()]
     assert sorted(got) == sorted(("a", "skos:altLabel", f"v{i}") for i in range(10_001))
+
+
+def test_values_that_cannot_be_typed_have_a_query(spark, folder):
+    wide = {r["s"]: r for r in problems.wide_table(spark, folder).wide().collect()}
+    assert wide["a"]["tariff"] is None and wide["a"]["unfit"] == [] and wide["b"]["tariff"] == Decimal("2.5")
+    assert [tuple(r) for r in problems.QUERIES["p5_untyped"](spark, folder).collect()] == [("a", "tam:tariff", "1" * 21)]
+    rows = [
+        ("big", "p:d", "1" * 20 + "." + "1" * 18, False), ("small", "p:d", "0." + "1" * 19, True), ("zeros", "p:d", "0.1" + "0" * 30, False), ("neg", "p:d", "-" + "9" * 21, True),
+        ("bce", "p:t", "-0044-03-15T10:00:00", True), ("far", "p:day", "12020-01-01", True), ("farther", "p:day", "1" * 14 + "-01-01", True), ("day", "p:day", "9999-12-31", False),
+        ("nano", "p:t", "2020-01-01T00:00:00.1234567Z", True), ("micro", "p:t", "2020-01-01T00:00:00.123456Z", False), ("inf", "p:x", "INF", False), ("nan", "p:x", "NaN", False),
+        ("n", "p:n", "-9223372036854775808", False), ("no", "p:b", "0", False), ("empty", "p:s", "", False), ("bad", "p:d", "x", False), ("m", "p:m", "v", False),
+    ]
+    w = WideTable(spark.createDataFrame([r[:3] for r in rows], "s string, p string, o string"), ATTRS)
+    assert {(r["s"], r["p"]) for r in w.untyped().collect()} == {r[:2] for r in rows if r[3]}
