@@ -818,6 +818,22 @@ def j3_split(spark: SparkSession, folder: str) -> DataFrame:
 @query("a8_nquads_roundtrip", "SELECT DISTINCT g, s, p, o, o_kind, coalesce(o_lang, '') AS o_lang FROM quads")
 def a8_nquads_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """All statements written as N-Quads and read back."""
+    return _roundtrip(spark, folder).select("g", "s", "p", "o", "o_kind", F.coalesce("o_lang", F.lit("")).alias("o_lang")).distinct()
+
+
+@query(
+    "a8_nquads_statements",
+    """SELECT DISTINCT g, s, s_kind, p, o, o_kind, coalesce(o_lang, '') AS o_lang, CASE WHEN o_kind <> 'literal' THEN '' WHEN o_lang <> '' THEN 'rdf:langString'
+  WHEN o_dt IN ('', 'rdf:langString') THEN 'xsd:string' ELSE o_dt END AS o_dt FROM quads""",
+)
+def a8_nquads_statements(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with all fields; statements are a set there.  N-Quads has no datatype beside a language tag, and a
+    literal with neither is an xsd:string; so one without datatype, or an rdf:langString without tag, comes back as that."""
+    cols = ["g", "s", "s_kind", "p", "o", "o_kind", F.coalesce("o_lang", F.lit("")).alias("o_lang"), "o_dt"]
+    return _roundtrip(spark, folder).select(*cols).distinct()
+
+
+def _roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     from ..sources import rdf
     from ..staging import Stage
 
@@ -827,4 +843,4 @@ def a8_nquads_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     rdf.write(q.withColumn("s", bare("s", "s_kind")).withColumn("o", bare("o", "o_kind")), path, "nquads")
     back = rdf.read(spark, path, "nquads")
     name = lambda c, k: F.when(F.col(k) == "bnode", F.regexp_replace(c, "^_:", "")).otherwise(F.col(c)).alias(c)
-    return back.select("g", name("s", "s_kind"), "p", name("o", "o_kind"), "o_kind", F.coalesce("o_lang", F.lit("")).alias("o_lang")).distinct()
+    return back.select("g", name("s", "s_kind"), "s_kind", "p", name("o", "o_kind"), "o_kind", "o_lang", "o_dt")

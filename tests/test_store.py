@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from conceptmill.operators.edits import Editor, EditRefused, applied
 from conceptmill.operators.store import FORMAT, Store, StoreRefused, migrate, parse_stamp
+from conceptmill.plans import catalog
 from conceptmill.sources import rdf
 
 G = "urn:v"
@@ -216,3 +217,12 @@ def test_retire_and_return(spark):
     assert said(back.removals) == {("c", "owl:deprecated", "true"), ("c", "dcterms:isReplacedBy", "n")} and back.report["kept_notes"] == 1
     with pytest.raises(EditRefused, match="NotRetired"):
         ed.reinstate("k")
+
+
+def test_nquads_roundtrip_shows_datatypes(spark, tmp_path):
+    """Statements that differ in their datatype only stay apart; what N-Quads cannot say comes back as it reads."""
+    rows = [("xsd:integer", None), ("xsd:string", None), ("", None), ("rdf:langString", None), ("rdf:langString", "en"), ("xsd:decimal", "")]
+    schema = "g string, s string, s_kind string, p string, o string, o_kind string, o_lang string, o_dt string"
+    spark.createDataFrame([("urn:g", "x", "bnode", "skos:notation", "7", "literal", lang, dt) for dt, lang in rows], schema).write.parquet(f"{tmp_path}/quads.parquet")
+    got = sorted((r["s"], r["s_kind"], r["o_lang"], r["o_dt"]) for r in catalog.QUERIES["a8_nquads_statements"](spark, str(tmp_path)).collect())
+    assert got == [("x", "bnode", *x) for x in [("", "xsd:decimal"), ("", "xsd:integer"), ("", "xsd:string"), ("en", "rdf:langString")]]
