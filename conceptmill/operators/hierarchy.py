@@ -10,8 +10,9 @@ Shape of the work
 * A round is one semi-join of the remaining links with their own parents; the remaining links shrink
   with every round and each link is written once as peeled.
 * Hierarchies end in a long thin top (a hundred levels of a few nodes).  When at most
-  ``tail_links`` links remain, they are peeled in memory: the number of links is counted first, and
-  above the bound the rounds simply go on distributed.  The results are the same for any bound.
+  ``tail_links`` links remain, they are not peeled: they are collected to the driver (the number of links is counted
+  first), loops are found there by depth-first search, and descendants and paths are searched from each node over
+  broadcast links.  Above the bound the rounds simply go on distributed.  The results are the same for any bound.
 * Loops above the bound are found by colouring (``strongly_connected``), distributed as well.
 * Descendants and paths are rows, never arrays per root: a root with a third of all concepts below it
   is spread over all tasks.  Joins on one hot parent are split by Spark's skew-join handling.
