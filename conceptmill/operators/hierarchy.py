@@ -1,21 +1,26 @@
 """Full hierarchies from parent-child rows.
 
-Leaves are peeled from below, level by level.  Peeled nodes send their descendant lists to their
-parents; in reverse peel order paths and depths go from the tops to the leaves.  What no peeling
-removes contains the loops.
+Leaves are peeled from below, round by round; the round in which a node goes is its level.  When a round peels nothing,
+what is left are loops and all that lies above them: loops are found there, contracted, and the peeling goes on to the
+top.  Peeled nodes send their descendant lists to their parents, level by level; in reverse peel order the paths and
+depths go from the tops to the leaves.  All of it is distributed, at every size.
 
 Shape of the work
 -----------------
 * Nodes get ordered 64-bit ids once, so each round moves two longs per link.
-* A round is one semi-join of the remaining links with their own parents; the remaining links shrink
-  with every round and each link is written once as peeled.
-* Hierarchies end in a long thin top (a hundred levels of a few nodes).  When at most
-  ``tail_links`` links remain, they are not peeled: they are collected to the driver (the number of links is counted
-  first), loops are found there by depth-first search, and descendants and paths are searched from each node over
-  broadcast links.  Above the bound the rounds simply go on distributed.  The results are the same for any bound.
-* Loops above the bound are found by colouring (``strongly_connected``), distributed as well.
+* A node survives a round if a child of it survived the round before.  So a round is one join of the remaining links with the
+  survivors and one aggregation.  Rounds chain: as many run as one job as leave at least half of the rows that the job starts
+  with, one at the wide bottom and up to ``most_rounds`` in the long thin top.  There links are first joined to hops of up to eight
+  links, as long as that makes no more than proportionally more of them, and a join peels that many levels, exactly.
+* The levels of one job are a batch.  Lists and paths move from batch to batch through one table, partitioned by the batch
+  that receives.  A batch of one level joins what it got with its links.  A batch of several levels first closes the links
+  within it by doubling; those pairs are part of the result, so that is no more than the result.  Then it sends on, and its partition is dropped.
 * Descendants and paths are rows, never arrays per root: a root with a third of all concepts below it
   is spread over all tasks.  Joins on one hot parent are split by Spark's skew-join handling.
+* A list is sent on when all children of its node have sent, as a distinct set, so its length is the size of the subtree.
+  The sizes themselves are not added up on the way: with several parents to a concept, the sum of the children's
+  sizes counts twice what lies below two of them.
+* Loops are found by colouring (``strongly_connected``) in what the peeling does not remove.
 
 Defined cases
 -------------
@@ -28,17 +33,18 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
+import math
+from dataclasses import dataclass
+from functools import cached_property, reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import Stage
 
-#: Level of nodes that the distributed rounds did not peel.
-TOP = 1_000_000
+#: receiver of what is complete
+_DONE = -1
+_STEP = " > "
 
 
 def links_of(quads: DataFrame, up: tuple[str, ...], down: tuple[str, ...]) -> DataFrame:
@@ -51,11 +57,84 @@ def links_of(quads: DataFrame, up: tuple[str, ...], down: tuple[str, ...]) -> Da
     )
 
 
+#: links joined to one hop at most
+_HOP = 16
+#: levels over which half of the nodes go, from which on hops are used
+_THIN = 4
+
+
+@dataclass(frozen=True)
+class Batch:
+    """Levels ``low`` to ``high``, peeled in one job; ``nodes`` (v, k)."""
+
+    low: int
+    high: int
+    nodes: DataFrame
+
+
+def hops(stage: Stage, edges: DataFrame, most: int = _HOP) -> tuple[DataFrame, int]:
+    """(c, p, w): pairs joined by a walk of exactly w links, and the greatest w.  Links are doubled twice in a job, up to ``most``,
+    as long as the pairs grow no more than the length does, with half to spare."""
+    all_, seen = stage.write(edges.select("c", "p", F.lit(1).alias("w")).distinct(), "hops", n=F.count(F.lit(1)))
+    reach, n = 1, seen["n"]
+    while 4 * reach <= most:
+        more, at = all_, reach
+        for _ in range(2):
+            on = more.select(F.col("c").alias("p"), F.col("p").alias("q"), F.col("w").alias("v"))
+            two = more.filter(F.col("w") == at).join(on, "p").select("c", F.col("q").alias("p"), (F.col("w") + F.col("v")).alias("w")).distinct()
+            more, at = more.unionByName(two), 2 * at
+        more, seen = stage.write(more, "hops", n=F.count(F.lit(1)))
+        if seen["n"] > 6 * n:
+            stage.drop(more)
+            break
+        stage.drop(all_)
+        all_, n, reach = more, seen["n"], at
+    return all_, reach
+
+
+def peel(stage: Stage, edges: DataFrame, nodes: DataFrame, first: int = 0, most_rounds: int = 64) -> tuple[list[Batch], DataFrame | None, int]:
+    """Peel ``nodes`` (v) from below along ``edges`` (c, p) between them, c <> p: the batches of levels, what no peeling removes (v), and
+    the next level."""
+    at, rounds, batches = first, 1, []
+    state = nodes.select("v", F.lit(first).alias("k"))
+    links, hop = edges.select("c", "p", F.lit(1).alias("w")), 1
+    written = None  # survivors when the remaining links were last written
+    while True:
+        plus = links.unionByName(state.select(F.col("v").alias("c"), F.col("v").alias("p"), F.lit(0).alias("w")))
+        new, end = state, at
+        while end < at + rounds:
+            goes_on = new.join(plus, F.col("v") == F.col("c")).filter((F.col("w") == 0) | (F.col("k") == end))
+            new = goes_on.groupBy(F.col("p").alias("v")).agg(F.max(F.col("k") + F.col("w")).alias("k"))
+            end += hop
+        k = F.col("k")
+        count = lambda x: F.sum(x.cast("long"))
+        new, seen = stage.write(new, "levels", all=F.count(F.lit(1)), last=count(k >= end - 1), left=count(k >= end), top=F.max(F.when(k < end, k)))
+        if seen["all"] > seen["left"]:
+            batches.append(Batch(at, seen["top"], new.filter(k < end)))
+            at = seen["top"] + 1
+        if not seen["left"]:
+            return batches, None, at
+        state = new.filter(k == end)
+        if seen["left"] == seen["last"]:
+            return batches, state.select("v"), at
+        thin = (end - batches[-1].low) * math.log(0.5) / math.log(seen["left"] / seen["all"])
+        rounds = min(most_rounds, max(1, int(thin)))
+        if written is None or seen["left"] * 2 <= written or (thin >= _THIN and hop == 1):  # the links of peeled nodes go
+            left = links.join(state.select(F.col("v").alias("c")), "c", "left_semi")
+            if thin >= _THIN and hop == 1:
+                new_links, hop = hops(stage, left)
+            else:
+                new_links = stage.write(left, "rest")
+            if written is not None:
+                stage.drop(links)
+            links, written = new_links, seen["left"]
+
+
 class Hierarchy:
-    def __init__(self, links: DataFrame, scope: str = "g", child: str = "child", parent: str = "parent", tail_links: int = 100_000):
+    def __init__(self, links: DataFrame, scope: str = "g", child: str = "child", parent: str = "parent", most_rounds: int = 64):
         self.spark = links.sparkSession
         self.stage = Stage(self.spark, "hierarchy")
-        self.tail_links = tail_links
+        self.most_rounds = most_rounds
         links = links.select(F.col(scope).alias("scope"), F.col(child).alias("child"), F.col(parent).alias("parent")).dropna().distinct()
         self._number(links)
         self._peel()
@@ -73,45 +152,39 @@ class Hierarchy:
         )
         c = self.nodes.select("scope", F.col("name").alias("child"), F.col("id").alias("c"))
         p = self.nodes.select("scope", F.col("name").alias("parent"), F.col("id").alias("p"))
-        self.edges, seen = self.stage.write(
-            links.join(c, ["scope", "child"]).join(p, ["scope", "parent"]).select("c", "p"), "edges", n=F.count(F.lit(1))
-        )
-        self.n_edges = seen["n"]
+        self.edges = self.stage.write(links.join(c, ["scope", "child"]).join(p, ["scope", "parent"]).select("c", "p"), "edges")
         self.stage.drop(links)
 
     # -- peeling -----------------------------------------------------------------------------
 
     def _peel(self) -> None:
-        self.peeled: list[DataFrame] = []  # links (c, p) whose child is peeled in round k
-        looped: list[DataFrame] = []
-        rest, n = self.edges, self.n_edges
-        while n > self.tail_links:
-            inner = rest.select(F.col("p").alias("c")).distinct().withColumn("inner", F.lit(True))
-            flagged = rest.join(inner, "c", "left").select("c", "p", F.col("inner").isNull().alias("leaf"))
-            t, seen = self.stage.write(flagged, "round", leaf=F.sum(F.col("leaf").cast("long")), rest=F.sum((~F.col("leaf")).cast("long")))
-            if seen["leaf"] == 0:
-                self.stage.drop(t)
-                found = strongly_connected(self.stage, rest)
-                looped.append(found)
-                new, seen = self.stage.write(_contract(rest, found), "contracted", n=F.count(F.lit(1)))
-                rest, n = new, seen["n"]
-                continue
-            self.peeled.append(t.filter("leaf").select("c", "p"))
-            rest, n = t.filter("not leaf").select("c", "p"), seen["rest"]
-        rows = rest.toArrow()  # at most tail_links rows, counted above
-        self._top = _Top(rows.column("c").to_pylist(), rows.column("p").to_pylist())
-        members = [(m, low) for low, ms in self._top.loops.items() for m in ms]
-        looped.append(self.spark.createDataFrame(pd.DataFrame(members, columns=["id", "lowest"], dtype="int64"), "id long, lowest long"))
-        self._loops = looped[0]
-        for x in looped[1:]:
-            self._loops = self._loops.unionByName(x)
-        self._send = self.spark.sparkContext.broadcast((dict(self._top.up), dict(self._top.down)))
-
-    def _named(self, df: DataFrame, **cols: str) -> DataFrame:
-        """Names for id columns: ``_named(df, new="old")``."""
-        for new, old in cols.items():
-            df = df.join(self.nodes.select(F.col("id").alias(old), F.col("name").alias(new)), old)
-        return df
+        """Up to the first loops, which are found."""
+        links = self.edges.filter("c <> p")
+        self._batches, self._residue, self._next = peel(self.stage, links, self.nodes.select(F.col("id").alias("v")), most_rounds=self.most_rounds)
+        loops = self.edges.filter("c = p").select(F.col("c").alias("id"), F.col("c").alias("lowest"))
+        if self._residue is not None:
+            self._tangle = self.stage.write(links.join(self._residue.select(F.col("v").alias("c")), "c", "left_semi"), "residue")
+            loops = loops.unionByName(strongly_connected(self.stage, self._tangle, self._residue))
+        # a node with a link to itself on a longer loop belongs to that loop
+        self._loops = self.stage.write(loops.groupBy("id").agg(F.min("lowest").alias("lowest")), "loops")
+
+    @cached_property
+    def batches(self) -> list[Batch]:
+        """All levels; loops are contracted, and the peeling has gone on above them."""
+        if self._residue is None:
+            return self._batches
+        low = self._loops.select(F.col("id").alias("v"), "lowest")
+        nodes = self._residue.join(low, "v", "left").select(F.coalesce("lowest", "v").alias("v")).distinct()
+        links = self.stage.write(self._contracted(self._tangle), "contracted")
+        more, left, _ = peel(self.stage, links, nodes, self._next, self.most_rounds)
+        assert left is None
+        return self._batches + more
+
+    def _contracted(self, edges: DataFrame) -> DataFrame:
+        c = self._loops.select(F.col("id").alias("c"), F.col("lowest").alias("cl"))
+        p = self._loops.select(F.col("id").alias("p"), F.col("lowest").alias("pl"))
+        both = edges.join(c, "c", "left").join(p, "p", "left").select(F.coalesce("cl", "c").alias("c"), F.coalesce("pl", "p").alias("p"))
+        return both.filter("c <> p").distinct()
 
     def loops(self) -> DataFrame:
         """(g, lowest, concept): each concept on a loop, with the lowest concept of its loop."""
@@ -122,100 +195,61 @@ class Hierarchy:
             .select(F.col("scope").alias("g"), F.col("low_name").alias("lowest"), F.col("name").alias("concept"))
         )
 
-    # -- levels ------------------------------------------------------------------------------
+    @cached_property
+    def levels(self) -> DataFrame:
+        """(v, b): the batch of each node, loops contracted."""
+        parts = [x.nodes.select("v", F.lit(b).alias("b")) for b, x in enumerate(self.batches)]
+        none = self.nodes.select(F.col("id").alias("v"), F.lit(0).alias("b")).filter(F.lit(False))
+        return self.stage.write(reduce(DataFrame.unionByName, parts, none), "level")
 
-    def _levelled(self) -> DataFrame:
-        """(c, k, p, pk): peeled links with the peel rounds of both ends; parents above all rounds have TOP.
-        Ends on loops are replaced by the loop's lowest member."""
-        if not hasattr(self, "_low"):
-            if not self.peeled:
-                self._low = self.spark.createDataFrame([], "c long, k int, p long, pk int")
-            else:
-                parts = [t.withColumn("k", F.lit(k)) for k, t in enumerate(self.peeled)]
-                e = parts[0]
-                for x in parts[1:]:
-                    e = e.unionByName(x)
-                e = e.join(self._loops.select(F.col("id").alias("p"), "lowest"), "p", "left").select("c", "k", F.coalesce("lowest", "p").alias("p")).distinct()
-                ks = e.select(F.col("c").alias("p"), F.col("k").alias("pk")).distinct()
-                self._low = self.stage.write(e.join(ks, "p", "left").select("c", "k", "p", F.coalesce("pk", F.lit(TOP)).alias("pk")), "levelled")
-        return self._low
-
-    def _tops(self) -> DataFrame:
-        """Ids above the distributed rounds, loops contracted."""
-        from_links = self._levelled().filter(F.col("pk") == TOP).select(F.col("p").alias("id"))
-        top = sorted(set(self._top.up) | set(self._top.down))
-        kept = self.spark.createDataFrame(pd.DataFrame({"id": pd.Series(top, dtype="int64")}), "id long")
-        reps = self._loops.select(F.col("lowest").alias("id"))
-        peeled = self._levelled().select(F.col("c").alias("id"))
-        return kept.unionByName(from_links).unionByName(reps).distinct().join(peeled, "id", "left_anti")
+    @cached_property
+    def links(self) -> DataFrame:
+        """(c, cb, p, pb): links between contracted nodes, with the batch of both ends."""
+        at = lambda end: self.levels.select(F.col("v").alias(end), F.col("b").alias(f"{end}b"))
+        return self.stage.write(self._contracted(self.edges).join(at("c"), "c").join(at("p"), "p").select("c", "p", "pb", "cb"), "links", partition_by="cb")
 
     # -- descendants: upward messages --------------------------------------------------------
 
-    def below_ids(self) -> DataFrame:
-        """(a, d): d lies below a; loops contracted."""
-        if hasattr(self, "_below"):
-            return self._below
-        low = self._levelled()
-        boxes: list[DataFrame] = []
-        done: list[DataFrame] = []
-
-        def inbox(level: int) -> DataFrame | None:
-            got = [b.filter(F.col("ak") == level).select("a", "d") for b in boxes]
-            if not got:
-                return None
-            out = got[0]
-            for x in got[1:]:
-                out = out.unionByName(x)
-            return out.distinct()
-
-        for k in range(len(self.peeled)):
-            links = low.filter(F.col("k") == k).select("c", "p", "pk")
-            sent = links.select(F.col("p").alias("a"), F.col("pk").alias("ak"), F.col("c").alias("d"))
-            lists = inbox(k)
-            if lists is not None:
-                lists = self.stage.write(lists, "lists")
-                done.append(lists)
-                sent = sent.unionByName(lists.join(links, lists.a == links.c).select(F.col("p").alias("a"), F.col("pk").alias("ak"), "d"))
-            boxes.append(self.stage.write(sent, "inbox", partition_by="ak"))
-        send = self._send
-
-        def closure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            down = send.value[1]
-            a_out: list[int] = []
-            d_out: list[int] = []
-            for batch in batches:
-                for a in batch["id"]:
-                    seen, stack = set(), list(down.get(a, ()))
-                    while stack:
-                        x = stack.pop()
-                        if x not in seen:
-                            seen.add(x)
-                            stack.extend(down.get(x, ()))
-                    a_out.extend([a] * len(seen))
-                    d_out.extend(seen)
-                    if len(a_out) > 200_000:
-                        yield pd.DataFrame({"a": a_out, "t": d_out})
-                        a_out, d_out = [], []
-            yield pd.DataFrame({"a": pd.Series(a_out, dtype="int64"), "t": pd.Series(d_out, dtype="int64")})
-
-        tops = self.stage.write(self._tops(), "tops")
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        pairs = self.stage.write(tops.repartition(n, "id").mapInPandas(closure, "a long, t long"), "top_pairs")
-        last = inbox(TOP)
-        whole = pairs.select("a", F.col("t").alias("d"))
-        if last is not None:
-            last = self.stage.write(last.select(F.col("a").alias("t"), "d"), "top_lists")
-            reach = pairs.unionByName(tops.select(F.col("id").alias("a"), F.col("id").alias("t")))
-            whole = whole.unionByName(reach.join(last, "t").select("a", "d")).distinct()
-        for x in done:
-            whole = whole.unionByName(x.select("a", "d"))
-        self._below = self.stage.write(whole, "below")
-        return self._below
+    def below_ids(self, of: DataFrame | None = None) -> DataFrame:
+        """(a, d): d lies below a; loops contracted.  With ``of`` (v) only for the d of that set, and nothing else is sent."""
+        sent = self.stage.mailbox("below", "a long, d long")
+        start = self.levels
+        if of is not None:
+            start = self.stage.write(start.join(of.select("v").distinct(), "v", "left_semi").select("v", "b"), "start")
+        for b, batch in enumerate(self.batches):
+            own = self.links.filter(F.col("cb") == b)
+            selves = self.levels.filter(F.col("b") == b).select(F.col("v").alias("c"), F.col("v").alias("p"))
+            lists = start.filter(F.col("b") == b).select(F.col("v").alias("a"), F.col("v").alias("d")).unionByName(sent.take(b))
+            if batch.high > batch.low:
+                up = self._closed(own.filter(F.col("pb") == b).select("c", "p"), selves, batch.high - batch.low)
+                lists = lists.join(up, F.col("a") == F.col("c")).select(F.col("p").alias("a"), "d")
+            out = own.filter(F.col("pb") > b).select("c", "p", F.col("pb").alias("to")).unionByName(selves.select("c", "p", F.lit(_DONE).alias("to")))
+            out = lists.distinct().join(out, F.col("a") == F.col("c")).filter((F.col("to") != _DONE) | (F.col("a") != F.col("d")))
+            sent.send(out.select(F.col("p").alias("a"), "d", "to"))
+            sent.drop(b)
+        return sent.take(_DONE).select("a", "d")
+
+    def _closed(self, links: DataFrame, selves: DataFrame, length: int) -> DataFrame:
+        """(c, p): nodes joined by at most ``length`` links, each with itself.  Pairs joined by exactly 2^i links, and those by fewer."""
+        fewer, exact = links.unionByName(selves), links.select("c", F.col("p").alias("m")).join(links.select(F.col("c").alias("m"), "p"), "m").select("c", "p").distinct()
+        reach = 1
+        while reach < length:
+            both = fewer.withColumn("exact", F.lit(False)).unionByName(exact.withColumn("exact", F.lit(True))) if reach == 1 else t
+            on = both.select(F.col("c").alias("m"), "p", "exact")
+            more = exact.select("c", F.col("p").alias("m")).join(on, "m").select("c", "p", "exact").unionByName(fewer.withColumn("exact", F.lit(False))).distinct()
+            t = self.stage.write(more, "closed")
+            fewer, exact = t.filter("not exact").select("c", "p"), t.filter("exact").select("c", "p")
+            reach = 2 * reach + 1
+        return fewer
+
+    @cached_property
+    def _below(self) -> DataFrame:
+        return self.below_ids()
 
     def descendants(self) -> DataFrame:
         """(g, concept, below, on_loop): one row for each concept below another.  Concepts of a loop stand
         under the loop's lowest concept; below another concept every member of a loop has its row."""
-        pairs = self.below_ids().join(self._loops.select(F.col("lowest").alias("d"), "id"), "d", "left")
+        pairs = self._below.join(self._loops.select(F.col("lowest").alias("d"), "id"), "d", "left")
         pairs = pairs.select("a", F.coalesce("id", "d").alias("d"), F.col("id").isNotNull().alias("on_loop"))
         own = self._loops.select(F.col("lowest").alias("a"), F.col("id").alias("d"), F.lit(True).alias("on_loop"))
         names = self.nodes.select(F.col("id").alias("a"), F.col("scope").alias("g"), F.col("name").alias("concept"))
@@ -225,7 +259,7 @@ class Hierarchy:
     def member_descendants(self) -> DataFrame:
         """(g, concept, below, concept_on_loop, on_loop): one row for each concept below another, every member of
         a loop being a concept of its own on both sides; all members of a loop stand below each of them."""
-        pairs = self.below_ids().join(self._loops.select(F.col("lowest").alias("d"), "id"), "d", "left")
+        pairs = self._below.join(self._loops.select(F.col("lowest").alias("d"), "id"), "d", "left")
         pairs = pairs.select(F.col("a").alias("id"), F.coalesce("id", "d").alias("d"), F.col("id").isNotNull().alias("below_on_loop"))
         own = self._loops.select(F.col("lowest").alias("id"), F.col("id").alias("d"), F.lit(True).alias("below_on_loop"))
         names = self.nodes.select("id", F.col("scope").alias("g"), F.col("name").alias("concept"))
@@ -241,64 +275,47 @@ class Hierarchy:
 
     # -- paths: downward messages ------------------------------------------------------------
 
-    def path_ids(self) -> DataFrame:
-        """(id, path array<string>): every path from a top down to the node, loops contracted."""
-        if hasattr(self, "_paths"):
-            return self._paths
-        low = self._named(self._levelled(), c_name="c")
-        low = self.stage.write(low.select("c", "k", "p", "pk", "c_name"), "named")
-        send = self._send
-
-        def routes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            up = send.value[0]
-            ids: list[int] = []
-            out: list[list[int]] = []
-            for batch in batches:
-                for x in batch["id"]:
-                    stack = [(x,)]
-                    while stack:
-                        path = stack.pop()
-                        above = up.get(path[-1], ())
-                        if not above:
-                            ids.append(x)
-                            out.append(list(reversed(path)))
-                        stack.extend(path + (a,) for a in above)
-                    if len(ids) > 20_000:
-                        yield pd.DataFrame({"id": ids, "ids": out})
-                        ids, out = [], []
-            yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "ids": pd.Series(out, dtype="object")})
-
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        tops = self._tops().repartition(n, "id").mapInPandas(routes, "id long, ids array<long>").withColumn("row", F.monotonically_increasing_id())
-        tops = self.stage.write(tops, "routes")
-        steps = tops.select("row", F.posexplode("ids").alias("at", "step")).join(self.nodes.select(F.col("id").alias("step"), "name"), "step")
-        named = steps.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("path"))
-        at = self.stage.write(tops.select("row", "id").join(named, "row").select("id", "path"), "top_paths")
-        done, boxes, level = [at], [], TOP
-        for k in [*range(len(self.peeled) - 1, -1, -1)]:
-            links = low.filter((F.col("pk") == level) & (F.col("k") <= k)).select("c", F.col("k").alias("ck"), "p", "c_name")
-            sent = links.join(at, links.p == at.id).select(F.col("c").alias("id"), "ck", F.concat("path", F.array("c_name")).alias("path"))
-            boxes.append(self.stage.write(sent, "steps", partition_by="ck"))
-            got = [b.filter(F.col("ck") == k).select("id", "path") for b in boxes]
-            at = got[0]
-            for x in got[1:]:
-                at = at.unionByName(x)
-            done.append(at)
-            level = k
-        out = done[0]
-        for x in done[1:]:
-            out = out.unionByName(x)
-        self._paths = out
-        return out
+    @cached_property
+    def _paths(self) -> DataFrame:
+        """(id, path, depth, root): every path from a top down to the node, loops contracted; ``path`` has the names, joined."""
+        step = F.concat(F.lit(_STEP), "name").alias("way")
+        down = self.links.join(self.nodes.select(F.col("id").alias("c"), "name"), "c").select("p", "c", "cb", step, "pb")
+        down = self.stage.write(down, "down", partition_by="pb")
+        tops = self.levels.join(self.links.select(F.col("c").alias("v")).distinct(), "v", "left_anti").join(self.nodes.withColumnRenamed("id", "v"), "v")
+        tops = self.stage.write(tops.select(F.col("v").alias("id"), F.col("name").alias("path"), F.lit(0).alias("depth"), F.col("name").alias("root"), "b"), "tops", partition_by="b")
+        sent = self.stage.mailbox("paths", "id long, path string, depth int, root string")
+        for b in reversed(range(len(self.batches))):
+            batch, own = self.batches[b], down.filter(F.col("pb") == b)
+            selves = self.levels.filter(F.col("b") == b).select(F.col("v").alias("p"), F.col("v").alias("c"), F.lit("").alias("way"), F.lit(0).alias("n"))
+            paths = tops.filter(F.col("b") == b).select("id", "path", "depth", "root").unionByName(sent.take(b))
+            if batch.high > batch.low:
+                paths = _along(paths, self._ways(own.filter(F.col("cb") == b).select("p", "c", "way", F.lit(1).alias("n")), selves, batch.high - batch.low))
+            out = own.filter(F.col("cb") < b).select("p", "c", "way", F.lit(1).alias("n"), F.col("cb").alias("to")).unionByName(selves.withColumn("to", F.lit(_DONE)))
+            sent.send(_along(paths, out, "to"))
+            sent.drop(b)
+        return sent.take(_DONE).select("id", "path", "depth", "root")
+
+    def _ways(self, links: DataFrame, selves: DataFrame, length: int) -> DataFrame:
+        """(p, c, way, n): every way down of at most ``length`` links.  Each is made once: of ways of exactly 2^i links and a shorter one."""
+        first = links.select("p", F.col("c").alias("m"), F.col("way").alias("way1"), F.col("n").alias("n1"))
+        then = lambda x: first.join(x.withColumnRenamed("p", "m"), "m").select("p", "c", F.concat("way1", "way").alias("way"), (F.col("n1") + F.col("n")).alias("n"), *x.columns[4:])
+        fewer, exact, reach = links.unionByName(selves), then(links), 1
+        while reach < length:
+            both = fewer.withColumn("exact", F.lit(False)).unionByName(exact.withColumn("exact", F.lit(True))) if reach == 1 else t
+            first = exact.select("p", F.col("c").alias("m"), F.col("way").alias("way1"), F.col("n").alias("n1"))
+            t = self.stage.write(then(both).unionByName(fewer.withColumn("exact", F.lit(False))), "ways")
+            fewer, exact = t.filter("not exact").drop("exact"), t.filter("exact").drop("exact")
+            reach = 2 * reach + 1
+        return fewer
 
     def paths(self) -> DataFrame:
         """(g, concept, path, depth, root, root_on_loop): one row for each full path to the top."""
-        return self._path_rows(self.path_ids())
+        return self._path_rows(self._paths)
 
     def member_paths(self) -> DataFrame:
         """(g, concept, path, depth, root, root_on_loop, on_loop): as ``paths()``, with the paths of a loop's lowest
         member for each of its members."""
-        return self._path_rows(self._for_members(self.path_ids()), "on_loop")
+        return self._path_rows(self._for_members(self._paths), "on_loop")
 
     def _path_rows(self, ids: DataFrame, *more: str) -> DataFrame:
         looped = self._loops.select(F.col("lowest").alias("id")).distinct()
@@ -308,9 +325,9 @@ class Hierarchy:
             .select(
                 F.col("scope").alias("g"),
                 F.col("name").alias("concept"),
-                F.array_join("path", " > ").alias("path"),
-                (F.size("path") - 1).alias("depth"),
-                F.col("path")[0].alias("root"),
+                "path",
+                "depth",
+                "root",
                 *more,
             )
             .join(root, ["g", "root"], "left")
@@ -320,7 +337,7 @@ class Hierarchy:
     def concepts(self) -> DataFrame:
         """(g, concept, min_depth, max_depth, n_paths, n_roots, root, n_below): a row for each concept, loops contracted."""
         by = self._path_counts()
-        size = self.below_ids().groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n_below"))
+        size = self._below.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n_below"))
         return (
             by.join(size, "id", "left")
             .join(self.nodes, "id")
@@ -331,19 +348,19 @@ class Hierarchy:
         )
 
     def _path_counts(self) -> DataFrame:
-        return self.path_ids().groupBy("id").agg(
-            F.min(F.size("path") - 1).alias("min_depth"),
-            F.max(F.size("path") - 1).alias("max_depth"),
+        return self._paths.groupBy("id").agg(
+            F.min("depth").alias("min_depth"),
+            F.max("depth").alias("max_depth"),
             F.count(F.lit(1)).alias("n_paths"),
-            F.count_distinct(F.col("path")[0]).alias("n_roots"),
-            F.min(F.col("path")[0]).alias("root"),
+            F.count_distinct("root").alias("n_roots"),
+            F.min("root").alias("root"),
         )
 
     def member_concepts(self) -> DataFrame:
         """(g, concept, min_depth, max_depth, n_paths, n_roots, root, n_below, on_loop): a row for each concept, members of
         loops too.  ``n_below`` counts every concept below, so it is the concept's rows in ``member_descendants()``."""
         loop = self._loops.groupBy("lowest").agg(F.count(F.lit(1)).alias("members"))
-        below = self.below_ids().join(loop.withColumnRenamed("lowest", "d"), "d", "left").select(F.col("a").alias("id"), F.coalesce("members", F.lit(1)).alias("n"))
+        below = self._below.join(loop.withColumnRenamed("lowest", "d"), "d", "left").select(F.col("a").alias("id"), F.coalesce("members", F.lit(1)).alias("n"))
         own = loop.select(F.col("lowest").alias("id"), F.col("members").alias("n"))
         size = below.unionByName(own).groupBy("id").agg(F.sum("n").alias("n_below"))
         rows = self._for_members(self._path_counts().join(size, "id", "left")).join(self.nodes, "id")
@@ -353,129 +370,46 @@ class Hierarchy:
         )
 
 
-class _Top:
-    """The last links in memory: loops found by depth-first search and contracted."""
-
-    def __init__(self, cs: list[int], ps: list[int]):
-        out: dict[int, list[int]] = defaultdict(list)
-        for c, p in zip(cs, ps):
-            out[c].append(p)
-        low = _components(out)
-        size: dict[int, list[int]] = defaultdict(list)
-        for v, r in low.items():
-            size[r].append(v)
-        self.loops = {r: vs for r, vs in size.items() if len(vs) > 1 or r in out.get(r, ())}
-        up: dict[int, set[int]] = defaultdict(set)
-        down: dict[int, set[int]] = defaultdict(set)
-        for c, p in zip(cs, ps):
-            a, b = low[c], low[p]
-            if a != b:
-                up[a].add(b)
-                down[b].add(a)
-        self.up = {k: sorted(v) for k, v in up.items()}
-        self.down = {k: sorted(v) for k, v in down.items()}
-
-
-def _components(out: dict[int, list[int]]) -> dict[int, int]:
-    """Each node's strongly connected component, named by its lowest node; iterative depth-first search."""
-    order: dict[int, int] = {}
-    link: dict[int, int] = {}
-    named: dict[int, int] = {}
-    open_: list[int] = []
-    for start in {*out, *(p for ps in out.values() for p in ps)}:
-        if start in order:
-            continue
-        order[start] = link[start] = len(order)
-        open_.append(start)
-        trail = [(start, iter(out.get(start, ())))]
-        while trail:
-            v, rest = trail[-1]
-            for w in rest:
-                if w not in order:
-                    order[w] = link[w] = len(order)
-                    open_.append(w)
-                    trail.append((w, iter(out.get(w, ()))))
-                    break
-                if w not in named:
-                    link[v] = min(link[v], order[w])
-            else:
-                trail.pop()
-                if trail:
-                    link[trail[-1][0]] = min(link[trail[-1][0]], link[v])
-                if link[v] == order[v]:
-                    group = []
-                    while not group or group[-1] != v:
-                        group.append(open_.pop())
-                    lowest = min(group)
-                    named.update((x, lowest) for x in group)
-    return named
-
-
-def _contract(edges: DataFrame, loops: DataFrame) -> DataFrame:
-    c = loops.select(F.col("id").alias("c"), F.col("lowest").alias("cl"))
-    p = loops.select(F.col("id").alias("p"), F.col("lowest").alias("pl"))
-    return (
-        edges.join(c, "c", "left").join(p, "p", "left")
-        .select(F.coalesce("cl", "c").alias("c"), F.coalesce("pl", "p").alias("p")).filter("c <> p").distinct()
-    )
-
-
-def strongly_connected(stage: Stage, edges: DataFrame) -> DataFrame:
-    """(id, lowest) of all nodes on loops of ``edges`` (c, p), distributed.
-
-    Both ends are trimmed; then the lowest node that reaches a node colours it, and the nodes that reach
-    their colour's own node within the colour are one loop.  Those are taken out, until nothing is left.
-    Rounds follow the length of the loops, not the number of nodes."""
-    selves = stage.write(edges.filter("c = p").select(F.col("c").alias("id")).distinct(), "selves")
-    found = [selves.select("id", F.col("id").alias("lowest"))]
-    rest, seen = stage.write(edges.filter("c <> p"), "core", n=F.count(F.lit(1)))
-    n = seen["n"]
-    while n:
-        while n:  # trim
-            t, seen = stage.write(
-                rest.join(rest.select(F.col("p").alias("c")).distinct(), "c", "left_semi").join(rest.select(F.col("c").alias("p")).distinct(), "p", "left_semi").select("c", "p"),
-                "trim", n=F.count(F.lit(1)),
-            )
-            stage.drop(rest)
-            rest, same, n = t, seen["n"] == n, seen["n"]
-            if same:
-                break
-        if not n:
+def _along(paths: DataFrame, ways: DataFrame, *more: str) -> DataFrame:
+    """``paths`` gone on with ``ways`` (p, c, way, n)."""
+    on = paths.join(ways, F.col("id") == F.col("p"))
+    return on.select(F.col("c").alias("id"), F.concat("path", "way").alias("path"), (F.col("depth") + F.col("n")).alias("depth"), "root", *more)
+
+
+def strongly_connected(stage: Stage, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, lowest) of all nodes on loops of ``edges`` (c, p), c <> p, between ``nodes`` (v), none of which can be peeled.
+
+    The lowest node that reaches a node colours it, and the nodes that reach their colour's own node, which they do within the
+    colour, are one loop.  Those are taken out and what hung on them alone is peeled, until nothing is left.  Rounds follow
+    the length of the loops and of what lies between them, by hops, and four run as one job."""
+    found: list[DataFrame] = []
+    while nodes is not None:
+        far, _ = hops(stage, edges)
+        plus = far.select("c", "p").unionByName(nodes.select(F.col("v").alias("c"), F.col("v").alias("p")))
+        own = F.col("c") == F.col("p")
+        state, moved = nodes.select("v", F.col("v").alias("x")), True
+        while moved:
+            for _ in range(4):
+                on = state.select("v", "x").join(plus, F.col("v") == F.col("c"))
+                state = on.groupBy(F.col("p").alias("v")).agg(F.min("x").alias("x"), F.max(F.when(own, F.col("x"))).alias("was"))
+            state, seen = stage.write(state, "colour", moved=F.sum((F.col("x") < F.col("was")).cast("long")))
+            moved = seen["moved"] > 0
+        state, moved = state.select("v", "x", (F.col("v") == F.col("x")).alias("on")), True
+        while moved:
+            for _ in range(4):  # a message of another colour has no row of the node itself beside it
+                on = state.select("v", "x", "on").join(plus, F.col("v") == F.col("p"))
+                state = on.groupBy(F.col("c").alias("v"), "x").agg(F.max("on").alias("on"), F.max(F.when(own, F.col("on"))).alias("was")).filter("was is not null")
+            state, seen = stage.write(state, "reach", moved=F.sum((F.col("on") != F.col("was")).cast("long")), rest=F.sum((~F.col("on")).cast("long")))
+            moved = seen["moved"] > 0
+        loop = state.filter("on").select(F.col("v").alias("id"), F.col("x").alias("lowest"))
+        found.append(loop.join(loop.groupBy("lowest").count().filter("count > 1").select("lowest"), "lowest", "left_semi").select("id", "lowest"))
+        if not seen["rest"]:
             break
-        colour = stage.write(rest.select(F.explode(F.array("c", "p")).alias("id")).distinct().withColumn("colour", F.col("id")), "colour")
-        while True:
-            sent = rest.join(colour, rest.c == colour.id).groupBy(F.col("p").alias("id")).agg(F.min("colour").alias("got"))
-            new = colour.join(sent, "id", "left").select("id", F.least("colour", "got").alias("new"), "colour")
-            t, seen = stage.write(new, "colour", moved=F.sum((F.col("new") < F.col("colour")).cast("long")))
-            stage.drop(colour)
-            colour = t.select("id", F.col("new").alias("colour"))
-            colour._stage_path = t._stage_path  # type: ignore[attr-defined]
-            if not seen["moved"]:
-                break
-        at = lambda end: colour.select(F.col("id").alias(end), F.col("colour").alias(f"{end}_colour"))
-        inside = stage.write(rest.join(at("c"), "c").join(at("p"), "p").filter("c_colour = p_colour").select("c", "p", F.col("c_colour").alias("colour")), "inside")
-        reach = front = stage.write(colour.filter("id = colour"), "reach")
-        rounds = 0
-        while True:
-            step = inside.join(front.select(F.col("id").alias("p")), "p", "left_semi").select(F.col("c").alias("id"), "colour").distinct()
-            front, seen = stage.write(step.join(reach, "id", "left_anti"), "reach", n=F.count(F.lit(1)))
-            if not seen["n"]:
-                break
-            rounds += 1
-            reach = reach.unionByName(front)
-            if rounds % 20 == 0:
-                reach = stage.write(reach, "reach")
-        reach = stage.write(reach, "loop")
-        many = reach.groupBy("colour").count().filter("count > 1").select("colour")
-        found.append(reach.join(many, "colour", "left_semi").select("id", F.col("colour").alias("lowest")))
-        gone = reach.select("id")
-        t, seen = stage.write(
-            rest.join(gone.select(F.col("id").alias("c")), "c", "left_anti").join(gone.select(F.col("id").alias("p")), "p", "left_anti").select("c", "p"),
-            "core", n=F.count(F.lit(1)),
-        )
-        rest, n = t, seen["n"]
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    # a node with a link to itself on a longer loop belongs to that loop
-    return stage.write(out.groupBy("id").agg(F.min("lowest").alias("lowest")), "loops")
+        rest = state.filter("not on").select("v")
+        inside = lambda end: rest.select(F.col("v").alias(end))
+        edges = stage.write(edges.join(inside("c"), "c", "left_semi").join(inside("p"), "p", "left_semi").select("c", "p"), "core")
+        _, nodes, _ = peel(stage, edges, rest)
+        if nodes is not None:
+            edges = stage.write(edges.join(nodes.select(F.col("v").alias("c")), "c", "left_semi"), "core")
+    none = edges.select(F.col("c").alias("id"), F.col("p").alias("lowest")).filter(F.lit(False))
+    return reduce(DataFrame.unionByName, found, none)

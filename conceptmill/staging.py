@@ -64,6 +64,10 @@ class Stage:
         back._stage_path = path  # type: ignore[attr-defined]
         return (back, seen.get) if seen is not None else back
 
+    def mailbox(self, tag: str, schema: str) -> "Mailbox":
+        self._n += 1
+        return Mailbox(self, f"{self.folder}/{self._n:04d}-{tag}", schema)
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             self._delete(t._stage_path)  # type: ignore[attr-defined]
@@ -73,11 +77,35 @@ class Stage:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
+    def _exists(self, path: str) -> bool:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
     def close(self) -> None:
         """Delete every table of this run; frames built on them cannot be read any more."""
         self._delete(self.folder)
 
 
+class Mailbox:
+    """Rows sent to numbered receivers, in one table partitioned by receiver (``to``).  What a receiver got is one
+    folder, however many senders it had, and can be dropped alone."""
+
+    def __init__(self, stage: Stage, path: str, schema: str):
+        self.stage, self.path, self.schema = stage, path, schema
+
+    def send(self, rows: DataFrame) -> None:
+        rows.write.mode("append").option("compression", "zstd").partitionBy("to").parquet(self.path)
+
+    def take(self, to: int) -> DataFrame:
+        spark, folder = self.stage.spark, f"{self.path}/to={to}"
+        if not self.stage._exists(folder):
+            return spark.createDataFrame([], self.schema)
+        return spark.read.schema(self.schema).parquet(folder)
+
+    def drop(self, to: int) -> None:
+        self.stage._delete(f"{self.path}/to={to}")
+
+
 @atexit.register
 def _close_all() -> None:
     import shutil
