@@ -5,10 +5,10 @@ token totals.  It sets how often a source is used: some whole times, and a fract
 That fraction is drawn by the cube method: inclusion probabilities, equal within a source, move through the
 null space of two constraints, the source's tokens and its number of texts, until all but two texts of each block
 are decided.  Blocks are bounded and hashed by text, so a large source is spread over many tasks; the
-undecided texts, with some held open for the landing, go on to the next level, until one block per source is left.  Its last two texts are landed with
-the source's number of texts within 1 of the expected one; texts of that block are exchanged one for one while that brings
-the tokens nearer.  Where no texts of that number hold the tokens, as few texts as a few attempts find are added or left out, since the
-shares are what is asked for; ``reached()`` has the expected number beside the reached one.
+undecided texts go on to the next level, until one block per source is left.  That leaves at most two texts of a source, the landing
+problem: of their outcomes that keep the source's number of texts within 1 of the expected one, the one nearest to its tokens is
+taken.  So a source misses its tokens by less than one text, and all other decisions are the flight's; ``reached()`` has the
+expected tokens and texts beside the reached ones.
 
 Random directions are seeded by block, so a repeated task decides alike.
 
@@ -20,7 +20,6 @@ texts give no selection.
 
 from __future__ import annotations
 
-import bisect
 import random
 from dataclasses import dataclass
 
@@ -31,9 +30,6 @@ from pyspark.sql import functions as F
 from ..staging import Stage
 
 _EPS = 1e-9
-#: part of a source's tokens that the landing may miss to keep the number of texts
-_NEAR = 0.005
-_ATTEMPTS = 8
 
 
 def flight(xs: list[float], ps: list[float], seed: int) -> list[float]:
@@ -65,72 +61,17 @@ def flight(xs: list[float], ps: list[float], seed: int) -> list[float]:
     return ps
 
 
-def land(xs: list[float], ps: list[float], before: list[float], seed: int = 0, near: float | None = None) -> list[float]:
-    """Decide what flight left of the block with probabilities ``before``, at most two texts, so that the number of texts
-    is within 1 of the expected one; then texts are exchanged one for one, which keeps that number, until the tokens are near.
-    Only where that does not bring them within ``near``, by default ``_NEAR`` of the tokens wanted, are texts added or left
-    out at random, as few as a few attempts for each number find."""
+def land(xs: list[float], ps: list[float]) -> list[float]:
+    """Decide what flight left open, at most two texts: their number stays within 1 of its expectation, the tokens are as near as that allows."""
     open_ = [i for i, p in enumerate(ps) if 0 < p < 1]
-    free = [i for i, p in enumerate(before) if 0 < p < 1]
-    want, texts = sum(x * p for x, p in zip(xs, before)), sum(before)
-    rnd = random.Random(seed)
-
-    def tried(out: list[float]) -> tuple[int, float, list[float]]:
-        over = exchange(xs, out, free, sum(x for x, p in zip(xs, out) if p) - want, rnd)
-        return round(abs(over)), abs(sum(out) - texts), out
-
-    landed = []
-    for k in range(1 << len(open_)):
-        out = list(ps)
-        for b, i in enumerate(open_):
-            out[i] = float(k >> b & 1)
-        if abs(sum(out) - texts) < 1 - _EPS:
-            landed.append(tried(out))
-    best = first = min(landed)
-    near = max(1.0, want * _NEAR if near is None else near)
-    for more in range(1, len(free) + 1):
-        if best[0] <= near or more > 20 + abs(sum(best[2]) - sum(first[2])):
-            break
-        for side in (0.0, 1.0) * _ATTEMPTS:
-            turn = [i for i in free if first[2][i] == side]
-            if len(turn) >= more:
-                out = list(first[2])
-                for i in rnd.sample(turn, more):
-                    out[i] = 1.0 - side
-                best = min(best, tried(out))
-    return best[2]
-
-
-def exchange(xs: list[float], out: list[float], free: list[int], over: float, rnd: random.Random) -> float:
-    """Exchange chosen texts of ``free`` for others, one for one, while that brings the tokens nearer; what is still ``over``.
-    As long as no single exchange could reach, the two are drawn at random, so that no size is preferred more than it must be."""
-    chosen, others = ([(xs[i], i) for i in sorted(free, key=lambda i: (xs[i], i)) if bool(out[i]) == side] for side in (True, False))
-    while chosen and others and abs(over) > 0.5:
-        reach = chosen[-1][0] - others[0][0] if over > 0 else others[-1][0] - chosen[0][0]
-        if reach < abs(over):
-            if reach <= 0:
-                break
-            for _ in range(64):
-                a, b = rnd.choice(chosen), rnd.choice(others)
-                if (a[0] - b[0]) * over > 0:
-                    break
-            else:
-                a, b = (chosen[-1], others[0]) if over > 0 else (chosen[0], others[-1])
-        else:
-            near = []
-            for a in chosen:
-                at = bisect.bisect_left(others, (a[0] - over, -1))
-                near += [(abs(over - a[0] + b[0]), a, b) for b in others[max(0, at - 1) : at + 1]]
-            left, a, b = min(near)
-            if left > abs(over) - _EPS:
-                break
-        chosen.remove(a)
-        others.remove(b)
-        bisect.insort(chosen, b)
-        bisect.insort(others, a)
-        out[a[1]], out[b[1]] = 0.0, 1.0
-        over -= a[0] - b[0]
-    return over
+    texts, tokens = sum(ps[i] for i in open_), sum(xs[i] * ps[i] for i in open_)
+    ways = [[float(k >> b & 1) for b in range(len(open_))] for k in range(1 << len(open_))]
+    near = [w for w in ways if abs(sum(w) - texts) < 1 - _EPS]
+    best = min(near, key=lambda w: (abs(sum(xs[i] * d for i, d in zip(open_, w)) - tokens), abs(sum(w) - texts)))
+    out = list(ps)
+    for i, d in zip(open_, best):
+        out[i] = d
+    return out
 
 
 @dataclass(frozen=True)
@@ -158,17 +99,13 @@ def shares(totals: dict[str, tuple[int, int]], targets: list[tuple[str, float, i
     return out
 
 
-def _flier(level: int, blocks: dict[str, int], near: dict[str, float], reserve: int):
+def _flier(level: int, blocks: dict[str, int]):
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
-        source = pdf["source"].iloc[0]
-        last = blocks[source] == 1
         pdf = pdf.sort_values("row")
         xs = pdf["n"].astype(float).tolist()
         seed = hash((int(pdf["row"].iloc[0]), level, len(xs)))  # of integers, so alike in every process
-        before = pdf["p"].tolist()
-        kept = 0 if last else min(reserve, len(xs))  # texts left open for the landing
-        ps = before[:kept] + flight(xs[kept:], before[kept:], seed)
-        return pdf.assign(p=land(xs, ps, before, seed, near[source]) if last else ps)[["id", "source", "n", "row", "p"]]
+        ps = flight(xs, pdf["p"].tolist(), seed)
+        return pdf.assign(p=land(xs, ps) if blocks[pdf["source"].iloc[0]] == 1 else ps)[["id", "source", "n", "row", "p"]]
 
     return fly
 
@@ -196,8 +133,6 @@ class Mixture:
             p = F.when(F.col("source") == s, F.lit(f)).otherwise(p)
         open_ = kept.select("id", "source", "n", "row", p.alias("p"))
         decided: list[DataFrame] = []
-        reserve = max(2, block_rows // 20)
-        near = {s.source: (s.whole + s.fraction) * s.supply_tokens * _NEAR for s in self.plan}
         level = 0
         while True:
             last = all(b == 1 for s, b in blocks.items() if s in fraction)
@@ -207,12 +142,12 @@ class Mixture:
             open_ = open_.withColumn("block", F.pmod(F.xxhash64("id", "row", F.lit(level)), of).cast("int"))
 
             kind = self.rows.schema["id"].dataType.simpleString()
-            t = self.stage.write(open_.groupBy("source", "block").applyInPandas(_flier(level, blocks, near, reserve), f"id {kind}, source string, n long, row long, p double"), "flight")
+            t = self.stage.write(open_.groupBy("source", "block").applyInPandas(_flier(level, blocks), f"id {kind}, source string, n long, row long, p double"), "flight")
             decided.append(t.filter("p >= 1"))
             if last:
                 break
             open_ = t.filter("p > 0 and p < 1")
-            blocks = {s: max(1, -(-(reserve + 2) * b // block_rows)) for s, b in blocks.items()}
+            blocks = {s: max(1, -(-2 * b // block_rows)) for s, b in blocks.items()}
             level += 1
         drawn = decided[0]
         for x in decided[1:]:
@@ -229,11 +164,11 @@ class Mixture:
         return self._selected.select(F.col("id").alias(self.id), "source", F.col("n").alias("n_tokens"), "copies")
 
     def reached(self) -> DataFrame:
-        """(source, target_share, reached_share, n_tokens, n_texts, most_copies, max_repeats, supply_tokens, expected_copies, n_copies)
+        """(source, target_share, reached_share, n_tokens, n_texts, most_copies, max_repeats, supply_tokens, expected_tokens, expected_copies, n_copies)
         for each target; copies are texts counted as often as they are used."""
         plan = self.spark.createDataFrame(
-            [(s.source, s.target, s.max_repeats, s.supply_tokens, (s.whole + s.fraction) * s.supply_texts) for s in self.plan],
-            "source string, target_share double, max_repeats int, supply_tokens long, expected_copies double",
+            [(s.source, s.target, s.max_repeats, s.supply_tokens, (s.whole + s.fraction) * s.supply_tokens, (s.whole + s.fraction) * s.supply_texts) for s in self.plan],
+            "source string, target_share double, max_repeats int, supply_tokens long, expected_tokens double, expected_copies double",
         )
         used = self._selected.groupBy("source").agg(F.sum(F.col("n") * F.col("copies")).alias("n_tokens"), F.count(F.lit(1)).alias("n_texts"), F.max("copies").alias("most_copies"), F.sum("copies").alias("n_copies"))
         all_ = used.agg(F.sum("n_tokens").alias("all_tokens"))
@@ -242,6 +177,6 @@ class Mixture:
             .select(
                 "source", "target_share", F.coalesce(F.col("n_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("reached_share"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
                 F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "max_repeats", "supply_tokens",
-                "expected_copies", F.coalesce("n_copies", F.lit(0)).alias("n_copies"),
+                "expected_tokens", "expected_copies", F.coalesce("n_copies", F.lit(0)).alias("n_copies"),
             )
         )
