@@ -5,7 +5,9 @@ Each source is a queue.  Deficit round-robin serves the queues window by window,
 or leaves, is carried on.  Over a whole queue that is a prefix sum: a text belongs to the window in which
 the queue's allowance reaches the text's last token.  So the windows of all queues follow from distributed
 prefix sums, with the deficits carried exactly over windows and partitions, and no task walks a queue.
-When a queue is empty the others share its allowance; sources without a target follow at the end.
+When a queue is empty the others share its allowance, since every text has its place; sources without a target follow at the
+end.  So the mixture holds, within one text of each queue, as long as all queues last, and ``mix`` reports for each window and
+source what it got, what it should have got and the deficit so far.
 
 Within a window, of bounded size, texts are packed best-fit by decreasing size.  A text larger than a container
 is divided into full containers and a rest; no other text is divided.
@@ -124,3 +126,27 @@ def pack(docs: DataFrame, id: str, tokens: str, source: str, targets: DataFrame,
     kind = items.schema["id"].dataType.simpleString()
     lean = windows.select("id", "source", "piece", "first_token", "n_tokens", "window", "_mix")
     return lean.groupBy("window").applyInPandas(fill, f"id {kind}, source string, piece int, first_token long, n_tokens long, window long, slot int, place int").withColumnRenamed("id", id)
+
+
+def mix(packed: DataFrame, source: str, targets: DataFrame) -> DataFrame:
+    """(window, source, target_share, n_tokens, reached_share, deficit, all_last) for each window of ``pack`` and each source with a target
+    and texts.  Targets are scaled to sum to 1 over these sources.  ``deficit`` is the tokens that the source should have got up to the end of
+    the window less those it got; ``all_last`` tells whether no queue was empty before the end of the window."""
+    stage = Stage(packed.sparkSession, "mix")
+    got = packed.groupBy("window", F.col(source).alias("source")).agg(F.sum("n_tokens").alias("n_tokens"))
+    got = stage.write(got.filter("n_tokens > 0"), "got")
+    share = {r["source"]: float(r["target_share"]) for r in targets.select("source", "target_share").dropna().collect() if r["target_share"] > 0}
+    ends = {r["source"]: r["w"] for r in got.filter(F.col("source").isin(list(share))).groupBy("source").agg(F.max("window").alias("w")).collect()}  # one row per target
+    share = {q: share[q] / sum(share[x] for x in ends) for q in sorted(ends)}
+    kinds = F.array(*[F.struct(F.lit(q).alias("source"), F.lit(w).alias("target_share")) for q, w in share.items()])
+    if not share:
+        kinds = F.array().cast("array<struct<source:string,target_share:double>>")
+    all_ = got.groupBy("window").agg(F.sum("n_tokens").alias("all_tokens"))
+    grid = all_.select("window", "all_tokens", F.explode(kinds).alias("x")).select("window", "all_tokens", "x.*")
+    rows = grid.join(got, ["window", "source"], "left").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)))
+    rows = rows.withColumn("_over", F.col("target_share") * F.col("all_tokens") - F.col("n_tokens"))
+    rows = running_total(stage, rows, "source", ["window"], "_over", "deficit")
+    return rows.select(
+        "window", "source", "target_share", "n_tokens", (F.col("n_tokens") / F.col("all_tokens")).alias("reached_share"), "deficit",
+        (F.col("window") < min(ends.values(), default=0)).alias("all_last"),
+    )

@@ -11,7 +11,7 @@ from .components import groups
 from .lookalikes import look_alikes, spread
 from .mixing import Mixture
 from .normalize import folds, normalized
-from .packing import pack
+from .packing import mix, pack
 from .splitting import split_texts
 from .tokens import source_name, token_count
 
@@ -81,6 +81,29 @@ def p6_fill(spark: SparkSession, folder: str, capacity: int = 2048) -> DataFrame
     )
 
 
+def p6_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixture of each window, and the deficit of each source so far."""
+    return mix(p6_containers(spark, folder), "source", table(spark, folder, "source_targets"))
+
+
+def p6_held(spark: SparkSession, folder: str, capacity: int = 2048) -> DataFrame:
+    """For each target, whether each window holds the mixture within one text while all queues last."""
+    off = p6_mix(spark, folder).filter("all_last").groupBy("source").agg(F.max(F.abs("deficit")).alias("most"))
+    targets = table(spark, folder, "source_targets").select("source", "target_share")
+    # the deficit of one source is its own text's and its share of the others'
+    return targets.join(off, "source", "left").select("source", "target_share", F.coalesce(F.col("most") <= 2 * capacity, F.lit(True)).alias("held"))
+
+
+def p6_placed(spark: SparkSession, folder: str, capacity: int = 2048) -> DataFrame:
+    """For each document, whether its pieces are placed once, whole and in order, and divided only beyond the capacity."""
+    rows = p6_containers(spark, folder)
+    room = rows.groupBy("window", "slot").agg((F.sum("n_tokens") <= capacity).alias("fits"))
+    rows = rows.join(room, ["window", "slot"])
+    n, end = F.count(F.lit(1)), F.max(F.col("first_token") + F.col("n_tokens"))
+    once = (F.count_distinct("piece") == n) & (F.max("piece") + 1 == n) & (F.sum("n_tokens") == end) & (n == F.greatest(F.ceil(end / capacity), F.lit(1)))
+    return rows.groupBy("doc_id").agg((once & F.bool_and("fits") & (F.max("n_tokens") <= capacity)).alias("whole"))
+
+
 def p7_selection(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder).selection()
 
@@ -89,6 +112,17 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder).reached()
 
 
+def p7_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """For each target, whether the repeats keep their cap, the number of texts is within 1 of the expected one and the tokens are within one text."""
+    m = _mixture(spark, folder)
+    longest = m.rows.groupBy("source").agg(F.max("n").alias("longest"))
+    x = m.reached().join(longest, "source", "left")
+    return x.select(
+        "source", (F.col("most_copies") <= F.col("max_repeats")).alias("repeats_kept"), (F.abs(F.col("n_copies") - F.col("expected_copies")) < 1).alias("texts_kept"),
+        (F.abs(F.col("n_tokens") - F.col("expected_tokens")) <= F.coalesce("longest", F.lit(0))).alias("tokens_kept"),
+    )
+
+
 def _mixture(spark: SparkSession, folder: str) -> Mixture:
     return Mixture(counted(spark, folder), "doc_id", "n_tokens", "source", table(spark, folder, "source_targets"))
 
@@ -100,6 +134,17 @@ def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_texts(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
+def p8_joined(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of each text put together again without their overlaps, as a digest."""
+    pieces = p8_pieces(spark, folder)
+    at = F.struct("piece", "first_char", "end_char", "text")
+    order = F.array_sort(F.collect_list(at))
+    last = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("x", i - 1)["end_char"])
+    own = F.transform("x", lambda y, i: F.substring(y["text"], (last(i) - y["first_char"] + 1).cast("int"), F.lit(1 << 30)))
+    whole = pieces.groupBy("doc_id").agg(order.alias("x")).select("doc_id", F.md5(F.array_join(own, "").cast("binary")).alias("digest"), F.size("x").alias("n"), "x")
+    return whole.select("doc_id", "digest", (F.col("n") == F.array_max(F.transform("x", lambda y: y["piece"])) + 1).alias("numbered"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_pieces(spark, folder).filter("piece = 0").select("doc_id")
 
@@ -117,11 +162,17 @@ _TEXTS_SQL = """t AS MATERIALIZED (SELECT 'quads' AS found_in, row_id AS found_i
   UNION ALL SELECT 'hits', hit_id, query_id, label FROM hits UNION ALL SELECT 'label_queries', query_id, query_id, folded FROM label_queries)"""
 
 QUERIES = {
-    "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p6_containers": p6_containers, "p6_fill": p6_fill,
-    "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_pieces": p8_pieces,
+    "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p6_containers": p6_containers, "p6_fill": p6_fill, "p6_mix": p6_mix, "p6_held": p6_held, "p6_placed": p6_placed,
+    "p7_selection": p7_selection, "p7_shares": p7_shares, "p7_kept": p7_kept, "p8_found": p8_found, "p8_pieces": p8_pieces, "p8_joined": p8_joined,
 }
 
 SQL = {
+    "p6_held": "SELECT source, target_share, true AS held FROM source_targets",
+    "p6_placed": "SELECT doc_id, true AS whole FROM documents",
+    "p7_kept": "SELECT source, true AS repeats_kept, true AS texts_kept, true AS tokens_kept FROM source_targets",
+    # no text lies near the limit: those beyond it have 2 600 tokens or more, the others less than 2 000 bytes
+    "p8_found": "SELECT doc_id FROM documents WHERE strlen(text) > 5000",
+    "p8_joined": "SELECT doc_id, md5(text) AS digest, true AS numbered FROM documents WHERE strlen(text) > 5000",
     "p3_forms": f"WITH {_TEXTS_SQL} SELECT found_in, found_id, {_form_sql('text')} AS form FROM t",
     "p3_found": f"""WITH {_TEXTS_SQL}, f AS MATERIALIZED (SELECT found_in, found_id, query_id, text, lower({_form_sql("text")}) AS fold FROM t WHERE text IS NOT NULL
   UNION SELECT found_in, found_id, query_id, text, lower({_form_sql("lower(text)")}) FROM t WHERE text IS NOT NULL)

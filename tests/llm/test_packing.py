@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from conceptmill.llm.packing import best_fit, pack, schedule
+from conceptmill.llm.packing import best_fit, mix, pack, schedule
 
 TARGETS = [("a", 0.5), ("b", 0.3), ("c", 0.2), ("absent", 0.1)]
 
@@ -61,12 +61,27 @@ def test_pack(spark):
         want.setdefault(d, []).extend((i // 100, i, min(100, (n or 0) - i)) for i in range(0, max(n or 0, 1), 100))
     assert {d: sorted(p) for d, p in pieces.items()} == {d: sorted(p) for d, p in want.items()}
     assert sum(size.values()) / (100 * len(size)) > 0.95  # each window leaves part of a container
-    total = {}
+
+
+def test_each_window_holds_the_mix(spark):
+    """Up to the window in which the first queue ends, each source is within one text of its target at the end of every window."""
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice("aaaaabbbcc"), rnd.choice([0, rnd.randrange(1, 40), 90, 260])) for i in range(3000)]
+    packed = pack(table(spark, rows), "doc", "n", "source", targets(spark), capacity=100, window_containers=25)
+    got = mix(packed, "source", targets(spark)).collect()
+    assert {r["source"] for r in got} == set("abc") and sum(r["n_tokens"] for r in got) == sum(n for _, _, n in rows)
+    assert sum(r["all_last"] for r in got) > 60
+    for r in got:
+        assert r["target_share"] == pytest.approx(dict(TARGETS)[r["source"]])
+        if r["all_last"]:
+            assert abs(r["deficit"]) <= 200
+    share = {}
+    for r in packed.collect():
+        share.setdefault(r["window"], {}).setdefault(r["source"], []).append(r["n_tokens"])
     for r in got:
-        if r["window"] in range(8):
-            total[r["source"]] = total.get(r["source"], 0) + r["n_tokens"]
-    all_ = sum(total.values())
-    assert [round(total[s] / all_, 1) for s in "abc"] == [0.5, 0.3, 0.2]
+        assert r["n_tokens"] == sum(share[r["window"]].get(r["source"], []))
+    last = {s: max(r["window"] for r in got if r["source"] == s and r["n_tokens"]) for s in "abc"}
+    assert all(r["all_last"] == (r["window"] < min(last.values())) for r in got)
 
 
 def test_one_source_holds_all(spark):
@@ -75,5 +90,6 @@ def test_one_source_holds_all(spark):
 
 
 def test_empty(spark):
-    assert pack(table(spark, []), "doc", "n", "source", targets(spark)).collect() == []
+    none = pack(table(spark, []), "doc", "n", "source", targets(spark))
+    assert none.collect() == [] and mix(none, "source", targets(spark)).collect() == []
     assert pack(table(spark, [(1, "", 3)]), "doc", "n", "source", spark.createDataFrame([], "source string, target_share double")).count() == 1
