@@ -167,7 +167,7 @@ def _wide_sql() -> str:
 x AS (SELECT s, p, CASE WHEN count(*) = count(v) AND count(DISTINCT v) = 1 THEN min(v) END AS v, count(*) > count(v) OR count(DISTINCT v) > 1 AS unfit FROM c GROUP BY s, p
   UNION ALL SELECT s, p, string_agg(DISTINCT o, chr(31) ORDER BY o), false FROM quads JOIN wide_columns USING (p) WHERE NOT single_valued AND {here} GROUP BY s, p
   UNION ALL SELECT DISTINCT s, NULL, NULL, false FROM quads WHERE p = 'rdf:type' AND o = 'skos:Concept' AND {here})
-SELECT s, {cols}, coalesce(string_agg(p, chr(31) ORDER BY p) FILTER (unfit), '') AS unfit, '' AS long_cells FROM x GROUP BY s"""
+SELECT s, {cols}, coalesce(string_agg(p, chr(31) ORDER BY p) FILTER (unfit), '') AS unfit, '' AS inexact, '' AS long_cells FROM x GROUP BY s"""
 
 
 QUERIES = {

@@ -2,7 +2,8 @@
 
 Iterative operators cut their lineage by writing a Parquet table under the folder that
 ``spark.checkpoint.dir`` names.  All executors share that folder, so a lost executor costs a
-re-read and no recomputation.  Tables of finished rounds are dropped as soon as nothing reads them.
+re-read and no recomputation.  Tables of finished rounds are dropped as soon as nothing reads them; those that a result
+still reads go with ``Stage.close``, at the end of ``runs()`` or of the application.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +44,7 @@ class Stage:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        self._paths: dict[int, str] = {}
+        self._tables: list[str] = []
         _open.append(self)
 
     def write(self, df: DataFrame, tag: str, partition_by: str | None = None, **counts) -> DataFrame | tuple[DataFrame, dict]:
@@ -60,7 +62,6 @@ class Stage:
             w = w.partitionBy(partition_by)
         w.parquet(path)
         back = self.spark.read.schema(schema).parquet(path).select(*schema.names)
-        self._paths[id(back)] = path
         back._stage_path = path  # type: ignore[attr-defined]
         return (back, seen.get) if seen is not None else back
 
@@ -81,11 +82,31 @@ class Stage:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
+    def own(self, table: str) -> str:
+        """A table of the session's catalogue that goes when this run is closed."""
+        self._tables.append(table)
+        return table
+
     def close(self) -> None:
         """Delete every table of this run; frames built on them cannot be read any more."""
+        if self in _open:
+            _open.remove(self)
+        for t in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
         self._delete(self.folder)
 
 
+@contextmanager
+def runs():
+    """Closes every run that begins within it; for results that are written or collected before its end."""
+    before = set(map(id, _open))
+    try:
+        yield
+    finally:
+        for s in [s for s in _open if id(s) not in before]:
+            s.close()
+
+
 class Mailbox:
     """Rows sent to numbered receivers, in one table partitioned by receiver (``to``).  What a receiver got is one
     folder, however many senders it had, and can be dropped alone."""
@@ -108,10 +129,15 @@ class Mailbox:
 
 @atexit.register
 def _close_all() -> None:
+    """On whatever file system the folders are, as long as the session lives; a stopped one can have local folders only."""
     import shutil
 
-    for s in _open:
-        if s.folder.startswith("file:"):
-            shutil.rmtree(s.folder[5:].replace("//", "/", 1) if s.folder.startswith("file://") else s.folder[5:], ignore_errors=True)
+    for s in list(_open):
+        try:
+            if s.spark.sparkContext._jsc is None:
+                raise RuntimeError("stopped")
+            s.close()
+        except Exception:
+            shutil.rmtree(s.folder.removeprefix("file:").replace("//", "/", 1), ignore_errors=True)
     for f in _own_folder:
         shutil.rmtree(f.removeprefix("file://"), ignore_errors=True)

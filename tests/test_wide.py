@@ -100,6 +100,33 @@ def folder(spark, tmp_path):
     return str(tmp_path)
 
 
+def test_values_beyond_their_type_are_named(spark):
+    """Dates keep the day that is written; what a column cannot hold, or not exactly, is named and not unfit."""
+    rows = [
+        ("zoned", "p:day", "2020-01-01+05:00", dt.date(2020, 1, 1), False), ("same", "p:day", "2000-01-01+13:00", dt.date(1999, 12, 31), False), ("same", "p:day", "1999-12-31-11:00", dt.date(1999, 12, 31), False),
+        ("large", "p:d", "123456789012345678901234", None, True), ("fine", "p:d", "0.1234567890123456789", Decimal("0.123456789012345679"), True), ("late", "p:day", "10000-01-01", None, True),
+        ("nano", "p:t", "2020-01-01T00:00:00.1234567Z", dt.datetime(2020, 1, 1, 0, 0, 0, 123456), True), ("year 0", "p:day", "0000-01-01", None, True),
+        ("first", "p:day", "0001-01-01Z", dt.date(1, 1, 1), False), ("last", "p:t", "9999-12-31T23:59:59Z", dt.datetime(9999, 12, 31, 23, 59, 59), False),
+    ]
+    w = WideTable(spark.createDataFrame([r[:3] for r in rows], "s string, p string, o string"), ATTRS)
+    got = {r["s"]: r.asDict() for r in w.wide().collect()}
+    column = {a.p: a.column for a in ATTRS}
+    for s, p, _, want, lost in rows:
+        assert (got[s][column[p]], got[s]["unfit"], got[s]["inexact"]) == (want, [], [p] if lost else [])
+
+
+def test_two_thousand_attributes(spark):
+    """One plan over all blocks."""
+    attrs = [Attribute(f"p:{i:04}", f"c{i:04}", ("xsd:integer", "xsd:date", "xsd:string")[i % 3], i % 10 != 9) for i in range(2000)]
+    rows = [(f"s{i % 7}", f"p:{i:04}", str(i)) for i in range(0, 2000, 3)] + [("s1", "p:1999", "x"), ("s1", "p:1999", "y"), ("s2", "p:0000", "none")]
+    w = WideTable(spark.createDataFrame(rows, "s string, p string, o string"), attrs)
+    assert len(w._blocks) <= 32
+    got = {r["s"]: r.asDict() for r in w.wide().collect()}
+    assert len(got) == 7 and got["s1"]["c1999"] == ["x", "y"] and got["s2"]["unfit"] == ["p:0000"]
+    for i in range(0, 2000, 3):
+        assert got[f"s{i % 7}"][f"c{i:04}"] == ([str(i)] if i % 10 == 9 else i)
+
+
 def test_long_cells_have_a_query(spark, folder):
     wide = {r["s"]: r for r in problems.wide_table(spark, folder).wide().collect()}
     assert wide["a"]["alt_labels"] is None and wide["a"]["long_cells"] == ["skos:altLabel"] and wide["b"]["alt_labels"] == ["x", "y"]
