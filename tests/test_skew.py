@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from conceptmill.operators.skew import per_key
+from conceptmill.operators.skew import chunked, per_key
+from conceptmill.staging import Stage
 
 
 @pytest.mark.parametrize("chunk", [1, 3, 7, 1000])
@@ -25,6 +26,20 @@ def test_per_key_matches_brute_force(spark, chunk):
     assert got.count() == len(want)
 
 
+@pytest.mark.parametrize("rows, most", [(100, 7), (1000, 33), (64, 64), (65, 64), (3, 1)])
+def test_chunks_are_equal(spark, rows, most):
+    """Within one row, whatever the keys; and in order."""
+    df = spark.createDataFrame([("hot" if i % 3 else f"k{i % 11}", i % 5) for i in range(rows)], "k string, v int")
+    got, n = chunked(Stage(spark, "test"), df, ["k", "v"], most)
+    size, ends = {}, {}
+    for r in got.collect():
+        size[r["chunk"]] = size.get(r["chunk"], 0) + 1
+        ends.setdefault(r["chunk"], []).append((r["k"], r["v"]))
+    assert n == rows and sum(size.values()) == rows and set(size) == set(range(-(-rows // most)))
+    assert max(size.values()) <= most and max(size.values()) - min(size.values()) <= 1
+    assert all(max(ends[i]) <= min(ends[i + 1]) for i in range(len(size) - 1))
+
+
 def test_empty(spark):
     got, n = per_key(spark.createDataFrame([], "k string, v string"), "k", "v")
     assert n == 0 and got.collect() == []
