@@ -246,6 +246,16 @@ class Hierarchy:
     def _below(self) -> DataFrame:
         return self.below_ids()
 
+    def above(self, pairs: DataFrame) -> DataFrame:
+        """The rows of ``pairs`` (g, low, high) in which ``high`` lies above ``low``, as all members of a loop lie above each other."""
+        low = self._loops.withColumnRenamed("id", "v")
+        at = self.nodes.withColumnsRenamed({"id": "v", "scope": "g"}).join(low, "v", "left").select("g", "name", F.coalesce("lowest", "v").alias("v"), F.col("lowest").isNotNull().alias("on_loop"))
+        end = lambda e: at.withColumnsRenamed({"name": e, "v": f"{e}_v", "on_loop": f"{e}_loop"})
+        asked = self.stage.write(pairs.select("g", "low", "high").distinct().join(end("low"), ["g", "low"]).join(end("high"), ["g", "high"]), "asked")
+        apart = asked.filter("low_v <> high_v")
+        below = self.below_ids(apart.select(F.col("low_v").alias("v"))).select(F.col("d").alias("low_v"), F.col("a").alias("high_v"))
+        return apart.join(below, ["low_v", "high_v"], "left_semi").select("g", "low", "high").unionByName(asked.filter("low_v = high_v and low_loop").select("g", "low", "high"))
+
     def descendants(self) -> DataFrame:
         """(g, concept, below, on_loop): one row for each concept below another.  Concepts of a loop stand
         under the loop's lowest concept; below another concept every member of a loop has its row."""

@@ -5,12 +5,15 @@ from __future__ import annotations
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import vocabulary as V
 from ..staging import Stage
 from .hierarchy import Hierarchy
+from .linked import linked
 from .skos import CoreModel, mapped
+from .walks import walk
 
 
 def _finding(df: DataFrame, kind: str, rule: str | Column | None, node: str, *detail: str | Column) -> DataFrame:
@@ -39,14 +42,56 @@ class Integrity:
         return _finding(x, "MultiplePreferredLabels", "S14", "node", "lang", "n")
 
     def related_and_broader(self) -> DataFrame:
-        """S27 through the closure, which comes from one peeling of the whole hierarchy rather than a walk per concept."""
+        """S27 through the closure.  Only the concepts that something is related to are sent up the hierarchy, so
+        the closure of all others is never built."""
         r = self.m.relations
         tree = Hierarchy(r.filter("p = 'skos:broaderTransitive'").select("g", F.col("s").alias("child"), F.col("o").alias("parent")))
-        related = r.filter("p = 'skos:related'").select("g", F.col("s").alias("below"), F.col("o").alias("other"))
-        low = tree.loops().select("g", F.col("concept").alias("other"), "lowest")
-        x = related.join(low, ["g", "other"], "left").withColumn("concept", F.coalesce("lowest", "other"))
-        x = x.join(tree.descendants().select("g", "concept", "below"), ["g", "concept", "below"], "left_semi")
-        return _finding(x, "RelatedAndBroaderTransitive", "S27", "below", "other")
+        related = r.filter("p = 'skos:related'").select("g", F.col("s").alias("low"), F.col("o").alias("high"))
+        return _finding(tree.above(related), "RelatedAndBroaderTransitive", "S27", "low", "high")
+
+    def related_within(self, max_nodes: int, max_links: int) -> DataFrame:
+        """S27 under bounds: what was found, and what was left unchecked.
+
+        Concepts with something related are walked upwards in their order.  All walks of a graph share ``max_links``; the one that
+        uses them up ends the check (DisjointnessSweepExhausted).  A concept with more than ``max_nodes`` above it
+        is left unchecked by itself (AncestryBoundReached)."""
+        r = self.m.relations
+        up = r.filter("p = 'skos:broaderTransitive'").select("g", F.col("s").alias("a"), F.col("o").alias("b"))
+        related = r.filter("p = 'skos:related'").select("g", F.col("s").alias("origin"), F.col("o").alias("node")).distinct()
+        origins = related.select("g", "origin").distinct()
+        return self._within(up, origins, related, max_nodes, max_links, "AncestryBoundReached", "DisjointnessSweepExhausted", "S27", "RelatedAndBroaderTransitive")
+
+    def exact_chains_within(self, max_nodes: int, max_links: int) -> DataFrame:
+        """S46 across chains under bounds, as ``related_within`` (ExactMatchClusterBoundReached, ExactMatchSweepExhausted)."""
+        m = self.m.mappings
+        exact = m.filter("p = 'skos:exactMatch'").select("g", F.col("s").alias("a"), F.col("o").alias("b"))
+        bad = m.filter(F.col("p").isin("skos:broadMatch", "skos:narrowMatch", "skos:relatedMatch") & (F.col("s") <= F.col("o")))
+        bad = bad.select("g", F.col("s").alias("origin"), F.col("o").alias("node")).distinct().join(exact.select("g", F.col("a").alias("origin"), F.col("b").alias("node")), ["g", "origin", "node"], "left_anti")
+        origins = exact.select("g", F.col("a").alias("origin")).distinct()
+        return self._within(exact, origins, bad, max_nodes, max_links, "ExactMatchClusterBoundReached", "ExactMatchSweepExhausted", "S46", "ExactMatchChainClash")
+
+    def _within(self, links: DataFrame, origins: DataFrame, pairs: DataFrame, max_nodes: int, max_links: int, one: str, all_: str, rule: str, kind: str) -> DataFrame:
+        stage = Stage(self.m.spark, "sweep")
+        reached, tally = walk(links, origins, max_nodes, max_links)
+        tally = stage.write(tally, "tally")
+        # each walk that costs anything costs a link, so the first max_links of them are all that the budget can pay
+        costly = tally.filter("links_walked > 0").select("g", "origin", "links_walked")
+        order = W.partitionBy("g").orderBy("origin")
+        paid = costly.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= max_links + 1)
+        paid = paid.withColumn("spent", F.sum("links_walked").over(order.rowsBetween(W.unboundedPreceding, 0)))
+        last = paid.filter(F.col("spent") >= max_links).groupBy("g").agg(F.min("origin").alias("last"), F.min("spent").alias("spent"))
+        open_ = tally.join(last, "g", "left")
+        beyond = F.col("last").isNotNull() & (F.col("origin") > F.col("last"))
+        stopped = open_.groupBy("g").agg(F.count_if(~beyond).alias("checked"), F.count_if(beyond).alias("unchecked"), F.max("last").alias("last"), F.max("spent").alias("spent"))
+        stopped = stopped.filter(F.col("last").isNotNull() & ((F.col("unchecked") > 0) | (F.col("spent") > max_links)))
+        done = open_.filter(~beyond)
+        large = done.filter((F.col("reached") > max_nodes) & ~F.coalesce((F.col("origin") == F.col("last")) & (F.col("spent") > max_links), F.lit(False)))
+        hits = pairs.join(reached.select("g", "origin", "node"), ["g", "origin", "node"], "left_semi").join(done.select("g", "origin"), ["g", "origin"], "left_semi")
+        return (
+            _finding(hits, kind, rule, "origin", "node")
+            .unionByName(_finding(large, one, rule, "origin", F.lit(max_nodes)))
+            .unionByName(_finding(stopped.withColumn("node", F.lit(None).cast("string")), all_, rule, "node", "checked", "unchecked", F.lit(max_links)))
+        )
 
     def exact_match_clashes(self) -> DataFrame:
         """S46 on the links held, once per pair."""
@@ -57,10 +102,8 @@ class Integrity:
 
     @cached_property
     def clusters(self) -> DataFrame:
-        """(g, lowest, concept): concepts joined by exact matches in any number of steps, within a graph.  A symmetric
-        graph's strongly connected components are its connected ones."""
-        x = self.m.mappings.filter("p = 'skos:exactMatch'").select("g", F.col("s").alias("child"), F.col("o").alias("parent"))
-        return Hierarchy(x).loops()
+        """(g, lowest, concept): concepts joined by exact matches in any number of steps, within a graph."""
+        return linked(self.m.mappings.filter("p = 'skos:exactMatch'").select("g", F.col("s").alias("a"), F.col("o").alias("b")))
 
     def exact_chain_clashes(self) -> DataFrame:
         """S46 across chains: both ends in one cluster and no exact match between them."""
@@ -149,7 +192,15 @@ class Integrity:
         return out.select("g", "rule", "section", "authority", verdict.alias("verdict"), "n_violations", "n_caveats")
 
 
+def verdicts(findings: DataFrame, graphs: DataFrame) -> DataFrame:
+    """(g, consistent, complete) for each graph (g): whether nothing inconsistent was found, and whether every check was carried through.  The first
+    without the second says only that nothing was found so far."""
+    has = lambda severity: F.max(F.col("severity") == severity)
+    by = findings.groupBy("g").agg(has("inconsistent").alias("bad"), has("unchecked").alias("open"))
+    return graphs.select("g").distinct().join(by, "g", "left").select("g", (~F.coalesce("bad", F.lit(False))).alias("consistent"), (~F.coalesce("open", F.lit(False))).alias("complete"))
+
+
 def newly_violated(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Conditions that a change would break: violated after it and not before."""
+    """(g, rule, ...) of the roll-call ``after`` a change, without what was violated ``before`` as well."""
     was = before.filter("verdict = 'violated'").select("g", "rule")
     return after.filter("verdict = 'violated'").join(was, ["g", "rule"], "left_anti")

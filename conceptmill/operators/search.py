@@ -16,6 +16,10 @@ RANGE = r"^(\*|[A-Za-z]{1,8}(-[A-Za-z0-9]{1,8})*)\z"
 _RANGE = re.compile(RANGE.replace(r"\z", r"\Z"))
 
 
+#: parts in which the hits of one question are ranked
+_SPLITS = 32
+
+
 class SearchRefused(ValueError):
     """The question cannot be asked: empty text, no kinds, or a malformed language range."""
 
@@ -101,8 +105,8 @@ def refused(text: str, lang_range: str, kinds: str) -> Column:
     )
 
 
-def search_all(labels: DataFrame, queries: DataFrame, default_hits: int = 200) -> DataFrame:
-    """(query_id, g, node, text, lang, kind, quality, place) for every question (query_id, text, match_mode, lang_range, kinds, max_hits) that is not refused.
+def matches(labels: DataFrame, queries: DataFrame, default_hits: int = 200) -> DataFrame:
+    """(query_id, max_hits, g, node, text, lang, q, k) of every label that a question meets, with the rank of its quality and kind.
 
     Texts meet by an equi-join on a gram: each question is looked up by the rarest of its three-character grams (a shorter
     text by itself), which every label that contains the text contains too; the match is then checked in full.  No
@@ -133,11 +137,25 @@ def search_all(labels: DataFrame, queries: DataFrame, default_hits: int = 200) -
     hits = hits.join(grouped, "text").filter(F.col("lang_range").isNull() | in_range(F.col("lang"), F.col("lang_range")))
     usable = F.when(F.col("kinds").isNull(), F.col("has")).otherwise(F.array_intersect("has", "kinds"))
     hits = hits.withColumn("k", F.array_min(F.transform(usable, _kind_rank))).filter("k is not null")
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(*_ranked(hits)))
-    top = hits.withColumn("place", place).filter("place <= max_hits")
+    return hits.select("query_id", "max_hits", "g", "node", "text", "lang", "q", "k")
+
+
+def search_all(labels: DataFrame, queries: DataFrame, default_hits: int = 200) -> DataFrame:
+    """(query_id, g, node, text, lang, kind, quality, place) for every question (query_id, text, match_mode, lang_range, kinds, max_hits) that is not refused."""
+    hits = matches(labels, queries, default_hits)
+    top = foremost(hits, "query_id", "max_hits", _ranked(hits))
     return top.select("query_id", "g", "node", "text", "lang", F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("k") + 1).alias("kind"), quality_name(F.col("q")).alias("quality"), "place")
 
 
+def foremost(hits: DataFrame, key: str, most: str, order: list[Column]) -> DataFrame:
+    """``hits`` with ``place``, for each ``key`` the first ``most`` in ``order``.  A key's hits are ranked in ``_SPLITS`` parts first, and
+    only the first of each part meet, so a key with most of the hits is no single task's."""
+    rank = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(*order))
+    part = F.pmod(F.xxhash64("g", "node", "text"), F.lit(_SPLITS)).alias("_part")
+    first = hits.select("*", part).withColumn("place", rank(key, "_part")).filter(F.col("place") <= F.col(most)).drop("_part", "place")
+    return first.withColumn("place", rank(key)).filter(F.col("place") <= F.col(most))
+
+
 def discover(labels: DataFrame, text: str, home: str, max_hits: int = 20) -> DataFrame:
     """(g, node, text, lang, kind, quality, home): best matches for a new concept's label over all graphs; ties go to the home graph."""
     if not text:

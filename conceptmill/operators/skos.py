@@ -75,43 +75,51 @@ class CoreModel:
 
     @cached_property
     def member_lists(self) -> DataFrame:
-        """(g, node, head, items array<string>, defect): the list of each collection, walked cell by cell.
+        """(g, node, head, items array<string>, defect): the list of each collection.
 
-        Defects: cyclic, no first, no rest, branches, not a node.  The walk is one join per position over all lists."""
+        Defects: cyclic, no first, no rest, branches, not a node; ``items`` are those before the defect.  Cells find their place by
+        doubling: in each round a cell learns where the cell that it points to points, so a list of n cells takes
+        log n rounds.  The items of one list are one row of the result."""
         stage = Stage(self.spark, "lists")
-        heads = self.facts.filter("p = 'skos:memberList'").select("g", F.col("s").alias("node"), F.col("o").alias("head"), "o_kind").distinct()
+        heads = stage.write(self.facts.filter("p = 'skos:memberList'").select("g", F.col("s").alias("node"), F.col("o").alias("head"), "o_kind").distinct(), "heads")
         cells = self.facts.filter(F.col("p").isin("rdf:first", "rdf:rest")).select("g", "s", "p", "o", "o_kind").distinct()
         first, rest = F.col("p") == "rdf:first", F.col("p") == "rdf:rest"
         cells = cells.groupBy("g", F.col("s").alias("cell")).agg(
             F.sum(first.cast("int")).alias("n_first"), F.sum(rest.cast("int")).alias("n_rest"), F.min(F.when(first, F.col("o"))).alias("item"),
             F.min(F.when(rest, F.col("o"))).alias("next"), F.bool_or(first & (F.col("o_kind") == "literal")).alias("lit"),
         )
-        walk = heads.select(
-            "g", "node", "head", F.col("head").alias("cell"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("items"),
-            F.when(F.col("o_kind") == "literal", "not a node").alias("defect"),
+        why = (
+            F.when(F.col("n_first") == 0, "no first").when(F.col("n_rest") == 0, "no rest")
+            .when((F.col("n_first") > 1) | (F.col("n_rest") > 1), "branches").when(F.col("lit"), "not a node")
         )
-        done: list[DataFrame] = []
-        walk = stage.write(walk, "walk")
-        while True:
-            over = (F.col("cell") == "rdf:nil") | F.col("defect").isNotNull()
-            done.append(walk.filter(over).select("g", "node", "head", "items", "defect"))
-            step = walk.filter(~over).join(cells, ["g", "cell"], "left")
-            why = (
-                F.when(F.array_contains("seen", F.col("cell")), "cyclic")
-                .when(F.coalesce("n_first", F.lit(0)) == 0, "no first").when(F.coalesce("n_rest", F.lit(0)) == 0, "no rest")
-                .when((F.col("n_first") > 1) | (F.col("n_rest") > 1), "branches").when(F.col("lit"), "not a node")
-            )
-            step = step.select(
-                "g", "node", "head", F.when(why.isNull(), F.col("next")).otherwise(F.col("cell")).alias("cell"), (F.col("at") + 1).alias("at"),
-                F.concat("seen", F.array("cell")).alias("seen"), F.when(why.isNull(), F.concat("items", F.array("item"))).otherwise(F.col("items")).alias("items"), why.alias("defect"),
-            )
-            walk, seen = stage.write(step, "walk", n=F.count(F.lit(1)))
+        cells, size = stage.write(cells.select("g", "cell", "item", F.when(why.isNull(), F.col("next")).alias("next"), why.alias("why")), "cells", n=F.count(F.lit(1)))
+        # (g, node, head, at, cell): cells of a list at most 2^i - 1 links from its head; jump: where 2^i links lead
+        started = heads.filter("o_kind <> 'literal'").select("g", "node", "head", F.lit(0).cast("long").alias("at"), F.col("head").alias("cell"))
+        reached = stage.write(started, "reached")
+        jump = cells.filter("next is not null").select("g", "cell", "next")
+        step = 1
+        while step <= 2 * size["n"]:
+            ahead = reached.join(jump, ["g", "cell"]).select("g", "node", "head", (F.col("at") + step).alias("at"), F.col("next").alias("cell"))
+            more, seen = stage.write(ahead, "reached", n=F.count(F.lit(1)))
             if not seen["n"]:
                 break
-        out = done[0]
-        for x in done[1:]:
-            out = out.unionByName(x)
-        return out
+            # a list that meets a cell again is cyclic from there; each cell counts where it comes first
+            reached = stage.write(reached.unionByName(more).groupBy("g", "node", "head", "cell").agg(F.min("at").alias("at")).select("g", "node", "head", "at", "cell"), "reached")
+            two = jump.select("g", F.col("next").alias("cell"), F.col("cell").alias("from"))
+            jump = stage.write(two.join(jump, ["g", "cell"]).select("g", F.col("from").alias("cell"), "next"), "jump")
+            step *= 2
+        inner = reached.filter("cell <> 'rdf:nil'").join(cells.withColumn("here", F.lit(True)), ["g", "cell"], "left")
+        defect = F.when(F.col("here").isNull(), "no first").otherwise(F.col("why"))
+        at = F.struct("at", "item")
+        ok = defect.isNull()
+        by = inner.groupBy("g", "node", "head").agg(
+            F.array_sort(F.collect_list(F.when(ok, at))).alias("x"), F.min(F.when(~ok, F.struct("at", defect.alias("defect")))).alias("bad"), F.count(F.lit(1)).alias("n"),
+        )
+        ends = reached.filter("cell = 'rdf:nil'").select("g", "node", "head", F.lit(True).alias("ends"))
+        out = heads.join(by, ["g", "node", "head"], "left").join(ends, ["g", "node", "head"], "left")
+        none = F.array().cast("array<string>")
+        lost = F.when(F.col("o_kind") == "literal", "not a node").when(F.col("bad").isNotNull(), F.col("bad.defect")).when(F.col("ends").isNull(), "cyclic")
+        return out.select("g", "node", "head", F.coalesce(F.transform("x", lambda y: y["item"]), none).alias("items"), lost.alias("defect"))
 
     @cached_property
     def members(self) -> DataFrame:
@@ -239,6 +247,11 @@ class CoreModel:
         x = self.labels.filter("kind <> 'hidden'").groupBy("g", "node").agg(F.min(F.struct(rank.alias("r"), F.coalesce("lang", F.lit("")).alias("l"), "text")).alias("m"))
         return x.select("g", "node", F.col("m.text").alias("text"))
 
+    def preferred_in(self, tag: str | None) -> DataFrame:
+        """(g, node, text): the preferred label in exactly this language, or without one; of several, the first by text."""
+        lang = F.col("lang").isNull() if not tag else F.col("lang") == tag.lower()
+        return self.labels.filter((F.col("kind") == "preferred") & lang).groupBy("g", "node").agg(F.min("text").alias("text"))
+
     # -- notes -------------------------------------------------------------------------------------
 
     @cached_property

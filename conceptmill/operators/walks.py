@@ -20,42 +20,44 @@ class WalkIncomplete(RuntimeError):
     """A bound was met; the answer is refused rather than shortened."""
 
 
-def _hops(stage: Stage, links: DataFrame, hops: int) -> DataFrame:
-    """(g, a, b, via): the least shortest path between any two nodes at most ``hops`` links apart, by doubling."""
-    out, reach = links.select("g", "a", "b", F.array("a", "b").alias("via")), 1
-    while reach < hops:
-        more = out.select("g", F.col("a").alias("b"), F.col("b").alias("c"), F.col("via").alias("on"))
-        two = out.join(more, ["g", "b"]).select("g", "a", F.col("c").alias("b"), F.concat("via", F.slice("on", 2, F.size("on"))).alias("via"))
-        best = F.min(F.struct(F.size("via").alias("n"), "via")).alias("m")
-        out = stage.write(out.unionByName(two).groupBy("g", "a", "b").agg(best).select("g", "a", "b", F.col("m.via").alias("via")), "hops")
-        reach *= 2
-    return out
-
-
-def walk(links: DataFrame, origins: DataFrame, max_nodes: int | None = None, max_links: int | None = None, hops: int = 1) -> tuple[DataFrame, DataFrame]:
+def walk(links: DataFrame, origins: DataFrame, max_nodes: int | None = None, max_links: int | None = None, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
     """(g, origin, node, pred, depth, path) of all nodes reached from (g, origin) over (g, a, b), and
     (g, origin, links_walked, reached, complete).  An origin on a loop reaches itself.
 
-    Where a bound is given, an origin that meets it stops there and is not complete.  For many origins, ``hops`` (a power of
-    two) first joins that many links into one, so that deep hierarchies take fewer rounds; a least shortest path is made of least
-    shortest paths, so the result is the same.  Bounds count links, and need ``hops`` of one."""
-    if hops > 1 and (max_nodes is not None or max_links is not None):
-        raise ValueError("bounds need one link a round")
+    Where a bound is given, an origin that meets it stops there and is not complete.  So many ``rounds`` run as one job: the
+    nodes of the last rounds go along, and what an earlier job reached is taken out at the end of the job; nothing is walked but what the
+    origins reach.  Bounds count links, and need one round a job."""
+    bounded = max_nodes is not None or max_links is not None
+    if rounds > 1 and bounded:
+        raise ValueError("bounds need one round a job")
     stage = Stage(links.sparkSession, "walk")
     links = stage.write(links.select("g", "a", "b").dropna().distinct(), "links")
-    step = _hops(stage, links, hops).withColumnRenamed("a", "node")
     start = origins.select("g", "origin").dropna().distinct()
     front = stage.write(start.select("g", "origin", F.col("origin").alias("node"), F.array("origin").alias("path")), "front")
+    step = links.select("g", F.col("a").alias("node"), "b")
+    if rounds > 1:
+        ends = links.select("g", F.explode(F.array("a", "b")).alias("node")).unionByName(front.select("g", "node")).distinct()
+        step = stage.write(step.unionByName(ends.select("g", "node", F.lit(None).cast("string").alias("b"))), "steps")
     reached: list[DataFrame] = []
     keys: list[DataFrame] = []  # what was reached, in few tables
     tally = stage.write(start.select("g", "origin", F.lit(0).cast("long").alias("links_walked"), F.lit(0).cast("long").alias("reached"), F.lit(True).alias("complete")), "tally")
-    rounds = 0
-    bounded = max_nodes is not None or max_links is not None
+    first = F.min(F.struct(F.size("path").alias("n"), "path")).alias("m")
+    at = 1
     while True:
-        steps = front.join(step, ["g", "node"]).select("g", "origin", F.col("b").alias("node"), F.concat("path", F.slice("via", 2, F.size("via"))).alias("path"))
-        if bounded:
-            steps = stage.write(steps, "steps")
-        new = steps.groupBy("g", "origin", "node").agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("m")).select("g", "origin", "node", F.col("m.path").alias("path"))
+        if rounds == 1:
+            steps = front.join(step, ["g", "node"]).select("g", "origin", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"))
+            if bounded:
+                steps = stage.write(steps, "steps")
+            new = steps.groupBy("g", "origin", "node").agg(first).select("g", "origin", "node", F.col("m.path").alias("path"))
+        else:
+            new = front
+            for k in range(at, at + rounds):
+                on = new.join(step, ["g", "node"]).filter(F.col("b").isNull() | (F.size("path") == k))
+                stays = F.col("b").isNull()
+                on = on.select("g", "origin", F.coalesce("b", "node").alias("node"), F.when(stays, F.col("path")).otherwise(F.concat("path", F.array("b"))).alias("path"))
+                # an origin that is reached stands beside the one that the walk starts at
+                new = on.groupBy("g", "origin", "node", (F.size("path") == 1).alias("start")).agg(first).select("g", "origin", "node", F.col("m.path").alias("path"))
+            new = new.filter(F.size("path") > at)
         if keys:
             seen = reduce(DataFrame.unionByName, keys)
             new = new.join(seen, ["g", "origin", "node"], "left_anti")
@@ -79,8 +81,8 @@ def walk(links: DataFrame, origins: DataFrame, max_nodes: int | None = None, max
         keys.append(new.select("g", "origin", "node"))
         if len(keys) > 8:
             keys = [stage.write(reduce(DataFrame.unionByName, keys), "keys")]
-        rounds += 1
-        front = new.filter(F.size("path") == rounds * hops + 1)  # nodes that the next round goes on from
+        at += rounds
+        front = new.filter(F.size("path") == at)  # nodes that the next round goes on from
     if not reached:
         reached = [front.limit(0)]
     out = reduce(DataFrame.unionByName, reached)
@@ -159,6 +161,14 @@ def routes(relations: DataFrame, origins: DataFrame, max_paths: int | None = Non
     return paths, cycles
 
 
+def summits(paths: DataFrame, top_concepts: DataFrame) -> DataFrame:
+    """(g, origin, summit, top_concept_of array<string>): where the routes of an origin end, with the schemes that name the summit a top concept.  A
+    summit need not be one, nor a top concept a summit."""
+    named = top_concepts.groupBy("g", F.col("concept").alias("summit")).agg(F.array_sort(F.collect_set("scheme")).alias("top_concept_of"))
+    out = paths.select("g", "origin", "summit").distinct().join(named, ["g", "summit"], "left")
+    return out.select("g", "origin", "summit", F.coalesce("top_concept_of", F.array().cast("array<string>")).alias("top_concept_of"))
+
+
 def lowest_first(ring: Column) -> Column:
     """A loop's nodes turned so that the lowest comes first."""
     at = F.array_position(ring, F.array_min(ring)).cast("int")

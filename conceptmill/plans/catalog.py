@@ -359,11 +359,11 @@ def _origins(spark: SparkSession, folder: str, direction: str) -> DataFrame:
 
 
 def _ancestors(spark: SparkSession, folder: str) -> DataFrame:
-    return walks.walk(walks.upward(model(spark, folder).relations), _origins(spark, folder, "up"), hops=8)[0]
+    return walks.walk(walks.upward(model(spark, folder).relations), _origins(spark, folder, "up"), rounds=4)[0]
 
 
 def _descendants(spark: SparkSession, folder: str) -> DataFrame:
-    return walks.walk(walks.downward(model(spark, folder).relations), _origins(spark, folder, "down"), hops=8)[0]
+    return walks.walk(walks.downward(model(spark, folder).relations), _origins(spark, folder, "down"), rounds=4)[0]
 
 
 @query("g4_ancestors", f"WITH RECURSIVE {_UP}, {_WALK} SELECT g, origin, node, CAST(depth AS INTEGER) AS depth FROM w")

@@ -153,8 +153,8 @@ def test_walks(spark, tree):
     assert rows(tally, "complete") == {(True,)}
     why = up.select("node", walks.entailed(F.col("path"), "skos:broaderTransitive").alias("why")).filter("node = 'b'").collect()[0]["why"]
     assert why == "e skos:broaderTransitive d, and d skos:broaderTransitive b"
-    for hops in (2, 4):
-        fast, _ = walks.walk(walks.upward(tree), start(spark, "e", "k"), hops=hops)
+    for rounds in (2, 4):
+        fast, _ = walks.walk(walks.upward(tree), start(spark, "e", "k"), rounds=rounds)
         assert rows(fast, "origin", "node", "pred", "depth") == rows(up, "origin", "node", "pred", "depth")
     _, few = walks.walk(walks.upward(tree), start(spark, "e", "k"), max_nodes=2, max_links=100)
     assert rows(few, "origin", "complete") == {("e", False), ("k", True)}
