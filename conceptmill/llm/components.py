@@ -3,7 +3,8 @@
 Large-star and small-star rewrites alternate until the links are stars around each group's lowest member.
 The lowest neighbour of every node comes from a partial aggregation; it is joined back to the links.  A
 node with more than ``hot_links`` links would fill one join task, so such nodes, of which there are at most
-links / ``hot_links``, are joined by broadcast and the rest by shuffle.  Number of rounds: logarithmic.
+links / ``hot_links``, are joined by broadcast and the rest by shuffle.  They are counted first; beyond ``_SENT`` of them
+the join is Spark's own, which splits skewed keys.  Number of rounds: logarithmic.
 
 Defined cases: links with a null end and links of a node with itself are ignored, repeated and reversed links
 count once, extra columns are ignored, no links give no rows.
@@ -17,13 +18,17 @@ from pyspark.sql import functions as F
 from ..staging import Stage
 
 
+#: hot nodes that are broadcast
+_SENT = 100_000
+
+
 def _with_lowest(stage: Stage, links: DataFrame, hot_links: int) -> tuple[DataFrame, DataFrame]:
     """``links`` (u, v) with ``m``, the lowest of u and its neighbours."""
     lowest, seen = stage.write(
         links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"),
-        "lowest", most=F.max("n"),
+        "lowest", hot=F.count_if(F.col("n") > hot_links),
     )
-    if seen["most"] <= hot_links:
+    if not 0 < seen["hot"] <= _SENT:
         return links.join(lowest.select("u", "m"), "u"), lowest
     hot = lowest.filter(F.col("n") > hot_links).select("u", F.col("m").alias("hot_m"))
     rest = lowest.filter(F.col("n") <= hot_links).select("u", "m")

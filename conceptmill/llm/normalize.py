@@ -93,7 +93,8 @@ def normalized(df: DataFrame, text: str, out: str = "form") -> DataFrame:
     spark = df.sparkSession
     stage = Stage(spark, "normalize")
     rows = stage.write(df.select(F.struct("*").alias("row"), F.col(text).alias("t"), F.monotonically_increasing_id().alias("rid")), "texts")
-    chars = rows.filter(~F.col("t").rlike(_PLAIN)).select("rid", F.posexplode(F.split("t", "")).alias("pos", "ch"))
+    exploded = ~F.col("t").rlike(_PLAIN)
+    chars = rows.filter(exploded).select("rid", F.posexplode(F.split("t", "")).alias("pos", "ch"))
     seqs = F.broadcast(spark.createDataFrame(spread_table(), "ch string, seq array<struct<c:string,k:int>>"))
     itself = F.array(F.struct(F.col("ch").alias("c"), F.lit(0).alias("k")))
     points = chars.join(seqs, "ch", "left").select("rid", "pos", F.posexplode(F.coalesce("seq", itself)).alias("sub", "x"))
@@ -103,8 +104,9 @@ def normalized(df: DataFrame, text: str, out: str = "form") -> DataFrame:
     ordered = F.sort_array(F.collect_list(F.struct("starter", "k", "at", "c")))
     rebuilt = points.groupBy("rid").agg(F.array_join(F.transform(ordered, lambda x: x["c"]), "").alias("f"))
     forms = rebuilt.select("rid", recomposed(F.col("f")).alias("f"))
-    form = F.when(F.col("t").isNull() | F.col("t").rlike(_PLAIN), F.col("t")).otherwise(F.coalesce("f", F.lit("")))
-    return rows.join(forms, "rid", "left").select("row.*", form.alias(out))
+    # texts that map to themselves do not go through the join
+    changed = rows.filter(exploded).join(forms, "rid", "left").select("row.*", F.coalesce("f", F.lit("")).alias(out))
+    return rows.filter(F.col("t").isNull() | ~exploded).select("row.*", F.col("t").alias(out)).unionByName(changed)
 
 
 def folds(df: DataFrame, text: str, out: str = "fold") -> DataFrame:

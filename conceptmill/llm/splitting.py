@@ -29,6 +29,8 @@ from .tokens import VOCABULARY, encoder, token_bytes
 _SPACE = re.compile(r"\s+")
 #: sentence marks, with quotes and brackets that may follow them
 _SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
+#: characters of text whose pieces are given back at once
+_AHEAD = 4_000_000
 RANKS = ("paragraph", "line", "sentence", "word")
 
 SCHEMA = "id {id}, piece int, n_pieces int, first_char long, end_char long, n_tokens int, overlap int, cut string, text string"
@@ -114,13 +116,17 @@ def split_texts(docs: DataFrame, id: str, text: str, limit: int = 2048, overlap:
     long = docs.filter(F.octet_length(text) > limit).select(F.col(id).alias("id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["id", "piece", "n_pieces", "first_char", "end_char", "n_tokens", "overlap", "cut", "text"]
         for batch in batches:
+            rows, size = [], 0
             for key, t in zip(batch["id"], batch["text"]):
                 pieces = cut(t, limit, overlap, path)
-                if pieces:
-                    yield pd.DataFrame(
-                        [(key, i, len(pieces), a, b, n, o, kind, t[a:b]) for i, (a, b, n, o, kind) in enumerate(pieces)],
-                        columns=["id", "piece", "n_pieces", "first_char", "end_char", "n_tokens", "overlap", "cut", "text"],
-                    )
+                rows += [(key, i, len(pieces), a, b, n, o, kind, t[a:b]) for i, (a, b, n, o, kind) in enumerate(pieces)]
+                size += len(t)
+                if size > _AHEAD:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     return long.mapInPandas(run, SCHEMA.format(id=long.schema["id"].dataType.simpleString())).withColumnRenamed("id", id)
