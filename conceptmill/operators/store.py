@@ -2,13 +2,18 @@
 
 ``catalog.json`` names the files of every graph; a change writes new files and then renames a new catalogue into
 place, so readers keep the version they opened and a lost executor leaves the old version whole.  Only the
-graphs that a change touches are written again.  Blank nodes of imports are renamed; those of removals are kept, so
+graphs that a change touches are written again.  A ``lock`` file, made only if there is none, keeps writers of other drivers
+out for the length of a transaction, or of a store opened as ``exclusive``; a catalogue that another driver has changed in
+between refuses the change until ``refresh``.  Blank nodes of imports are renamed; those of removals are kept, so
 that they can match.
 """
 
 from __future__ import annotations
 
+import getpass
 import json
+import os
+import socket
 import uuid
 from contextlib import contextmanager
 from datetime import datetime, timezone
@@ -84,34 +89,105 @@ def parse_stamp(text: str) -> datetime:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, exclusive: bool = False):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self._busy = False
+        self._busy = self._mine = False
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(self.folder))
+        if not self._fs.mkdirs(self._path(self.folder)):
+            raise StoreRefused("CreateDir", self.folder)
+        if exclusive:
+            self._lock()
+        try:
+            self._open()
+        except BaseException:
+            self.close()
+            raise
+
+    def _open(self) -> None:
         text = self._read("catalog.json")
         self.catalog: dict = {"format": FORMAT, "graphs": {}, "candidates": [], "policies": {}, "justifications": [], "history": []}
         if text is None:
-            self._commit()
-        else:
+            with self._locked():
+                self._commit()
+            return
+        try:
             self.catalog = json.loads(text)
-            was = self.catalog.get("format")
-            migrate(self.catalog)
-            if was != FORMAT:
+        except ValueError as e:
+            raise StoreRefused("Open", f"{self.folder}: {e}") from None
+        was = self.catalog.get("format")
+        migrate(self.catalog)
+        self._check_registry()
+        if was != FORMAT:
+            with self._locked():
                 self._commit()
 
+    def _check_registry(self) -> None:
+        """Every graph has a known kind and its files are there."""
+        for g, x in self.catalog.get("graphs", {}).items():
+            if x.get("kind") not in KINDS:
+                raise StoreRefused("Corrupt", f"{g} is of the unknown kind {x.get('kind')}")
+            if x.get("path") is not None and not self._fs.exists(self._path(x["path"])):
+                raise StoreRefused("Corrupt", f"the files of {g} are missing")
+
+    def refresh(self) -> "Store":
+        """Read the catalogue again, as another driver may have left it."""
+        self._open()
+        return self
+
+    # -- lock ------------------------------------------------------------------------------------------
+
+    def _lock(self) -> None:
+        at = self._path(f"{self.folder}/lock")
+        try:
+            out = self._fs.create(at, False)
+        except Exception:
+            if not self._fs.exists(at):
+                raise
+            raise StoreRefused("AlreadyInUse", f"{self.folder}, by {self._read('lock')}") from None
+        out.write(bytearray(f"{getpass.getuser()} on {socket.gethostname()}, process {os.getpid()}, since {now()}".encode()))
+        out.close()
+        self._mine = True
+
+    def close(self) -> None:
+        """Give an exclusive store free."""
+        if self._mine:
+            self._fs.delete(self._path(f"{self.folder}/lock"), False)
+            self._mine = False
+
+    @staticmethod
+    def unlock(spark: SparkSession, folder: str) -> None:
+        """Take the lock away that a lost driver left behind."""
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + "/lock")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, False)
+
+    @contextmanager
+    def _locked(self):
+        held = self._mine
+        if not held:
+            self._lock()
+        try:
+            yield
+        finally:
+            if not held:
+                self.close()
+
     # -- files -----------------------------------------------------------------------------------------
 
     def _read(self, name: str) -> str | None:
         p = self._path(f"{self.folder}/{name}")
         if not self._fs.exists(p):
             return None
-        return "\n".join(r[0] for r in self.spark.read.text(p.toString(), wholetext=True).collect())
+        stream = self._fs.open(p)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     def _commit(self) -> None:
         """A new catalogue beside the old one, renamed over it."""
+        self.catalog["revision"] = uuid.uuid4().hex
         new = self._path(f"{self.folder}/catalog-{uuid.uuid4().hex}.json")
         out = self._fs.create(new, True)
         out.write(bytearray(json.dumps(self.catalog).encode()))
@@ -130,8 +206,12 @@ class Store:
             raise StoreRefused("NestedTransaction")
         self._busy, before = True, json.dumps(self.catalog)
         try:
-            yield self
-            self._commit()
+            with self._locked():
+                there = json.loads(self._read("catalog.json") or "{}")
+                if there.get("revision") != self.catalog.get("revision"):
+                    raise StoreRefused("ChangedElsewhere", self.folder)
+                yield self
+                self._commit()
         except BaseException:
             self.catalog = json.loads(before)
             raise
