@@ -409,6 +409,7 @@ class Dataset:
         self.default = self.all if default is None else self.all.filter(F.col("g").isin(default))
         self.named = self.all if named is None else self.all.filter(F.col("g").isin(named))
         self.stage = Stage(self.spark, "sparql")
+        self._once = True  # whether a pattern's solutions have to be a set
 
     # scans
     def scan(self, graph: tuple | None) -> DataFrame:
@@ -455,7 +456,16 @@ class Dataset:
                 first[n] = i
         if not names:
             return Solutions(df.select("_one").distinct().drop("_one"), [])
-        return Solutions(df.select(*[F.col(f"_{first[n]}").alias(f"v_{n}") for n in names]).distinct(), names)
+        out = df.select(*[F.col(f"_{first[n]}").alias(f"v_{n}") for n in names])
+        return Solutions(out.distinct() if self._once else out, names)
+
+    def any_of(self, p: tuple, graph: tuple | None) -> Solutions:
+        """A pattern of which only matters whether there is a solution, so repeated ones may stay; sub-selects are sets again."""
+        was, self._once = self._once, False
+        try:
+            return self.pattern(p, graph)
+        finally:
+            self._once = was
 
     # paths
     def pairs(self, p: tuple, graph: tuple | None) -> DataFrame:
@@ -562,7 +572,7 @@ class Dataset:
             wide = lambda x: x.df.select(*[(F.col(f"v_{v}") if v in x.vars else F.lit(None).cast(TERM)).alias(f"v_{v}") for v in names])
             return Solutions(wide(a).unionAll(wide(b)), names, a.maybe | b.maybe | (set(a.vars) ^ set(b.vars)))
         if kind == "minus":
-            a, b = self.pattern(p[1], graph), self.pattern(p[2], graph)
+            a, b = self.pattern(p[1], graph), self.any_of(p[2], graph)
             shared = [v for v in a.vars if v in b.vars]
             if not shared:
                 return a
@@ -582,7 +592,11 @@ class Dataset:
         if kind == "graph":
             return self.pattern(p[2], p[1])
         if kind == "subselect":
-            return self.select(p[1], graph)
+            was, self._once = self._once, True
+            try:
+                return self.select(p[1], graph)
+            finally:
+                self._once = was
         raise QueryRefused("QuerySyntax", f"unexpected {kind}")
 
     def filtered(self, e: tuple, a: Solutions, graph: tuple | None) -> Solutions:
@@ -594,13 +608,13 @@ class Dataset:
             while inner[0] == "filter" and mentioned(inner[1]) - variables(inner[2]):
                 outer.append(inner[1])  # a filter on variables from outside is part of the condition
                 inner = inner[2]
-            return join(a, self.pattern(inner, graph), "left_anti" if negated else "left_semi", outer)
+            return join(a, self.any_of(inner, graph), "left_anti" if negated else "left_semi", outer)
         flags: list[tuple[str, Solutions]] = []
 
         def lifted(x: object) -> object:
             """EXISTS inside other operators becomes a flag column."""
             if isinstance(x, tuple) and x and x[0] == "exists":
-                b = self.pattern(x[1], graph)
+                b = self.any_of(x[1], graph)
                 shared = [v for v in a.vars if v in b.vars]
                 name = f"f_{len(flags)}"
                 flags.append((name, Solutions(b.df.select(*[f"v_{v}" for v in shared]).distinct() if shared else b.df.limit(1).select(), shared, b.maybe)))
