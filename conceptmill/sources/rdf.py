@@ -1,7 +1,8 @@
 """RDF files to statements and back.
 
 N-Triples and N-Quads are read line by line with JVM expressions and split like any text, so one large file uses the
-whole cluster.  Turtle, TriG, RDF/XML and JSON-LD need a parser with state; each file is one task's work.  Files
+whole cluster.  Turtle, TriG, RDF/XML and JSON-LD need a parser with state; each file is one task's work, and its statements are
+given on in batches while it is read (JSON-LD after it is read).  Files
 are written one statement per line wherever the syntax allows, so every partition writes its own file.
 
 Well-known namespaces are written with prefixes inside the store (see ``vocabulary.PREFIXES``).  Triple syntaxes drop the
@@ -10,11 +11,14 @@ graph by design.
 
 from __future__ import annotations
 
+import io
 import json
 import re
 import xml.etree.ElementTree as ET
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -203,7 +207,7 @@ def resolve(base: str, ref: str) -> str:
 
 
 class _Turtle:
-    """Recursive descent over tokens; gives (g, s, s_kind, p, o, o_kind, lang, datatype)."""
+    """Recursive descent over tokens, which are read as they are needed; gives (g, s, s_kind, p, o, o_kind, lang, datatype)."""
 
     def __init__(self, text: str, base: str, scope: str, trig: bool):
         self.base, self.scope, self.trig = base, scope, trig
@@ -211,23 +215,25 @@ class _Turtle:
         self.out: list[tuple] = []
         self.graph: str | None = None
         self.n = 0
-        self.tokens: list[tuple[str, str]] = []
-        at = 0
-        while at < len(text):
-            m = _TOKEN.match(text, at)
+        self.text, self.at = text, 0
+        self.ahead: deque[tuple[str, str]] = deque()
+
+    def peek(self, further: int = 0) -> tuple[str, str]:
+        while len(self.ahead) <= further:
+            if self.at >= len(self.text):
+                return "end", ""
+            m = _TOKEN.match(self.text, self.at)
             if not m:
-                raise SyntaxRefused(f"unexpected text at {at}: {text[at : at + 30]!r}")
+                raise SyntaxRefused(f"unexpected text at {self.at}: {self.text[self.at : self.at + 30]!r}")
+            self.at = m.end()
             if m.lastgroup != "ws":
-                self.tokens.append((m.lastgroup, m.group()))
-            at = m.end()
-        self.at = 0
-
-    def peek(self) -> tuple[str, str]:
-        return self.tokens[self.at] if self.at < len(self.tokens) else ("end", "")
+                self.ahead.append((m.lastgroup, m.group()))
+        return self.ahead[further]
 
     def next(self) -> tuple[str, str]:
         t = self.peek()
-        self.at += 1
+        if self.ahead:
+            self.ahead.popleft()
         return t
 
     def want(self, text: str) -> None:
@@ -241,7 +247,13 @@ class _Turtle:
     def emit(self, s: tuple, p: str, o: tuple) -> None:
         self.out.append((self.graph, *s, p, *(o if len(o) == 4 else (*o, None, ""))))
 
-    def parse(self) -> list[tuple]:
+    def done(self) -> Iterator[tuple]:
+        """What was emitted since the last time."""
+        yield from self.out
+        self.out.clear()
+
+    def parse(self) -> Iterator[tuple]:
+        """The statements as the text is read; no more than those of one sentence are held."""
         while self.peek()[0] != "end":
             kind, text = self.peek()
             low = text.lower()
@@ -256,13 +268,14 @@ class _Turtle:
                     self.base = self.iri_text(self.next())
                 if kind == "dir":
                     self.want(".")
-            elif self.trig and (text == "{" or low == "graph" or self.tokens[self.at + 1 : self.at + 2] == [("punct", "{")]):
+            elif self.trig and (text == "{" or low == "graph" or self.peek(1) == ("punct", "{")):
                 if low == "graph":
                     self.next()
                 self.graph = None if self.peek()[1] == "{" else self.node()[0]
                 self.want("{")
                 while self.peek()[1] != "}":
                     self.triples()
+                    yield from self.done()
                     if self.peek()[1] == ".":
                         self.next()
                     elif self.peek()[1] != "}":
@@ -272,7 +285,7 @@ class _Turtle:
             else:
                 self.triples()
                 self.want(".")
-        return self.out
+                yield from self.done()
 
     def iri_text(self, token: tuple[str, str]) -> str:
         if token[0] != "iri":
@@ -365,7 +378,8 @@ class _Turtle:
 _XML = "{http://www.w3.org/XML/1998/namespace}"
 
 
-def _parse_xml(text: str, base: str, scope: str) -> list[tuple]:
+def _parse_xml(text: str, base: str, scope: str) -> Iterator[tuple]:
+    """One description after the other; each is dropped when its statements are given."""
     out: list[tuple] = []
     made = [0]
 
@@ -438,14 +452,24 @@ def _parse_xml(text: str, base: str, scope: str) -> list[tuple]:
             out.append((None, *s, p, *o))
         return s
 
+    root, depth = None, 0
+    text = re.sub(r"""^(\s*<\?xml[^>]*?)\s+encoding=("[^"]*"|'[^']*')""", r"\1", text, count=1)  # decoded already
     try:
-        root = ET.fromstring(text)
-    except ET.ParseError as e:
-        raise SyntaxRefused(str(e)) from e
-    top = root if root.tag == f"{{{RDF}}}RDF" else [root]
-    for e in top:
-        visit(e, root.attrib.get(_XML + "base", base), root.attrib.get(_XML + "lang"))
-    return out
+        for event, e in ET.iterparse(io.BytesIO(text.encode()), events=("start", "end")):
+            if event == "start":
+                depth += 1
+                root = e if root is None else root
+                continue
+            depth -= 1
+            several = root.tag == f"{{{RDF}}}RDF"
+            if depth == (1 if several else 0):
+                visit(e, root.attrib.get(_XML + "base", base), root.attrib.get(_XML + "lang"))
+                yield from out
+                out.clear()
+                if several:
+                    root.remove(e)
+    except ET.ParseError as x:
+        raise SyntaxRefused(str(x)) from x
 
 
 # -- JSON-LD -----------------------------------------------------------------------------------------
@@ -552,15 +576,24 @@ def _parse_json(text: str, base: str, scope: str) -> list[tuple]:
 
 def parse_text(text: str, syntax: str, base: str = "", scope: str = "") -> list[tuple]:
     """Statements of one document, blank nodes named after ``scope``."""
+    return list(iter_text(text, syntax, base, scope))
+
+
+def iter_text(text: str, syntax: str, base: str = "", scope: str = "") -> Iterator[tuple]:
+    """The same, one after the other.  JSON-LD is read whole."""
     match syntax_of(syntax).token:
         case "rdfxml":
             return _parse_xml(text, base, scope)
         case "jsonld":
-            return _parse_json(text, base, scope)
+            return iter(_parse_json(text, base, scope))
         case token:
             return _Turtle(text, base, scope, trig=token in ("trig", "nquads")).parse()
 
 
+#: statements given on at once
+_BATCH = 10_000
+
+
 # -- files -------------------------------------------------------------------------------------------
 
 
@@ -577,8 +610,9 @@ def read(spark: SparkSession, path: str, syntax: str, graph: str | None = None,
 
         for batch in batches:
             for name, text in zip(batch["path"], batch["value"]):
-                rows = parse_text(text, token, at, f"{crc32(name.encode()):08x}")
-                yield pd.DataFrame([(r[0] or graph, *r[1:]) for r in rows], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+                rows = iter_text(text, token, at, f"{crc32(name.encode()):08x}")
+                while some := [(r[0] or graph, *r[1:]) for r in islice(rows, _BATCH)]:
+                    yield pd.DataFrame(some, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return files.mapInPandas(run, SCHEMA).distinct()

@@ -226,3 +226,23 @@ def test_nquads_roundtrip_shows_datatypes(spark, tmp_path):
     spark.createDataFrame([("urn:g", "x", "bnode", "skos:notation", "7", "literal", lang, dt) for dt, lang in rows], schema).write.parquet(f"{tmp_path}/quads.parquet")
     got = sorted((r["s"], r["s_kind"], r["o_lang"], r["o_dt"]) for r in catalog.QUERIES["a8_nquads_statements"](spark, str(tmp_path)).collect())
     assert got == [("x", "bnode", *x) for x in [("", "xsd:decimal"), ("", "xsd:integer"), ("", "xsd:string"), ("en", "rdf:langString")]]
+
+
+def test_large_documents_are_parsed_as_they_are_read():
+    from itertools import islice
+
+    from conceptmill.sources.rdf import SyntaxRefused, iter_text
+
+    turtle = "@prefix e: <urn:e:> .\n" + "".join(f'e:s{i} e:p "v{i}", e:o ; e:q [ e:r ( 1 2 ) ] .\n' for i in range(2000))
+    rows = iter_text(turtle + "this is no Turtle", "turtle")
+    assert [r[1] for r in islice(rows, 2)] == ["urn:e:s0", "urn:e:s0"]
+    with pytest.raises(SyntaxRefused):
+        list(rows)
+    assert len(list(iter_text(turtle, "turtle"))) == 2000 * 8
+    rdf = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+    xml = f'<?xml version="1.0" encoding="iso-8859-1"?><rdf:RDF xmlns:rdf="{rdf}" xmlns:e="urn:e:">' + "".join(f'<rdf:Description rdf:about="urn:s{i}"><e:p>é{i}</e:p></rdf:Description>' for i in range(2000))
+    rows = iter_text(xml + "</rdf:RDF", "rdfxml")
+    assert [(r[1], r[4]) for r in islice(rows, 2)] == [("urn:s0", "é0"), ("urn:s1", "é1")]
+    with pytest.raises(SyntaxRefused):
+        list(rows)
+    assert len(list(iter_text(xml + "</rdf:RDF>", "rdfxml"))) == 2000
