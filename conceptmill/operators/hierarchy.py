@@ -63,6 +63,10 @@ _HOP = 16
 _THIN = 4
 
 
+class ClosureTooLarge(RuntimeError):
+    """A bound on the closure was met; the answer is refused."""
+
+
 @dataclass(frozen=True)
 class Batch:
     """Levels ``low`` to ``high``, peeled in one job; ``nodes`` (v, k)."""
@@ -357,6 +361,19 @@ class Hierarchy:
             )
         )
 
+    def closure_size(self, most: int = 20_000_000) -> DataFrame:
+        """(g, pairs): how many pairs of a concept and one above it each scope has, members of loops counted one by one; more than ``most`` in all
+        are refused."""
+        loop = self._loops.groupBy("lowest").agg(F.count(F.lit(1)).alias("m"))
+        of = lambda end: loop.select(F.col("lowest").alias(end), F.col("m").alias(f"{end}_m"))
+        pairs = self._below.join(of("a"), "a", "left").join(of("d"), "d", "left").select(F.col("a").alias("id"), (F.coalesce("a_m", F.lit(1)) * F.coalesce("d_m", F.lit(1))).alias("n"))
+        pairs = pairs.unionByName(loop.select(F.col("lowest").alias("id"), (F.col("m") * F.col("m")).alias("n")))
+        by = pairs.groupBy("id").agg(F.sum("n").alias("n")).join(self.nodes, "id").groupBy(F.col("scope").alias("g")).agg(F.sum("n").alias("pairs"))
+        by, seen = self.stage.write(by, "closure_size", n=F.sum("pairs"))
+        if seen["n"] > most:
+            raise ClosureTooLarge(f"{seen['n']} pairs, more than {most}")
+        return by
+
     def _path_counts(self) -> DataFrame:
         return self._paths.groupBy("id").agg(
             F.min("depth").alias("min_depth"),

@@ -146,6 +146,23 @@ def convention(classes: DataFrame) -> DataFrame:
     return out.select("g", "namespace", "n", "concepts", F.when(numbered, F.col("fixed")).alias("fixed"), "n_numbered", pattern.alias("pattern"))
 
 
+def agreed(classes: DataFrame, g: str) -> Pattern:
+    """The convention of one graph, refused where there is none: without concepts, without identifiers among them, or without a majority;
+    or one that is no pattern."""
+    mine = classes.filter((F.col("g") == g) & (F.col("class") == "skos:Concept"))
+    if mine.isEmpty():
+        raise MintRefused("NoConcepts", g)
+    if mine.filter(~F.col("node").startswith("_:")).isEmpty():
+        raise MintRefused("NoIris", g)
+    row = convention(mine).select("pattern").collect()  # one graph, one row at most
+    if not row or row[0]["pattern"] is None:
+        raise MintRefused("NoMajority", g)
+    try:
+        return Pattern.parse(row[0]["pattern"])
+    except MintRefused as e:
+        raise MintRefused("Unusable", str(e)) from e
+
+
 def chosen(given: str | None, recorded: str | None, inferred: str | None) -> tuple[str, Pattern]:
     """Given before recorded before inferred; a pattern that cannot be read is refused, not skipped."""
     for name, text in (("given", given), ("recorded", recorded), ("inferred", inferred)):

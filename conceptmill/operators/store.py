@@ -18,7 +18,9 @@ import uuid
 from contextlib import contextmanager
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import rdf
@@ -76,6 +78,17 @@ def migrate(catalog: dict) -> dict:
     return catalog
 
 
+def _first_line(e: Exception) -> str:
+    return str(e).strip().split("\n")[0]
+
+
+def _no_statement() -> Column:
+    """Rows that are no RDF: a part is missing, a literal stands for a subject or predicate, or a kind is unknown."""
+    parts = F.col("s").isNull() | F.col("p").isNull() | F.col("o").isNull()
+    kinds = ~F.coalesce(F.col("s_kind").isin("iri", "bnode") & F.col("o_kind").isin("iri", "bnode", "literal"), F.lit(False))
+    return parts | kinds | F.col("p").startswith("_:") | F.col("p").contains(" ")
+
+
 def now() -> str:
     return datetime.now(timezone.utc).isoformat()
 
@@ -258,7 +271,25 @@ class Store:
             self.catalog["graphs"][g] = {"kind": kind, "path": self._put(statements.withColumn("g", F.lit(g)))}
 
     def export(self, g: str, path: str, syntax: str) -> None:
-        rdf.write(self.scan(g), path, syntax)
+        whole = self.scan(g)
+        try:
+            rdf.write(whole, path, syntax)
+        except AnalysisException as e:
+            raise StoreRefused("Export", f"{path}: {_first_line(e)}") from e
+
+    @contextmanager
+    def _reading(self, what: str, path: str):
+        """Files that are not there, and text that is no RDF, are refused by name."""
+        try:
+            yield
+        except AnalysisException as e:
+            raise StoreRefused(f"{what}Read", f"{path}: {_first_line(e)}") from e
+        except (PySparkException, Py4JError, rdf.SyntaxRefused) as e:
+            text = str(e)
+            for mark in ("SyntaxRefused: ", "malformed line: "):
+                if mark in text:
+                    raise StoreRefused(f"{what}Syntax", f"{path}: {text[text.index(mark) + len(mark) :].splitlines()[0]}") from e
+            raise
 
     # -- staged changes ----------------------------------------------------------------------------------
 
@@ -274,6 +305,8 @@ class Store:
         for half in (additions, removals):
             if half is not None and not half.filter(F.col("g") != g).isEmpty():
                 raise StoreRefused("ImportGraphMismatch", g)
+            if half is not None and not half.filter(_no_statement()).isEmpty():
+                raise StoreRefused("CandidateStatementInvalid", g)
         with self.transaction():
             id_ = max((c["id"] for c in self.catalog["candidates"]), default=0) + 1
             record = {"id": id_, "target": g, "source": source, "agent": agent, "note": note, "confidence": confidence, "state": "proposed", "proposed_at": now(), "decided_by": None, "decided_at": None}
@@ -297,13 +330,15 @@ class Store:
             raise StoreRefused(code, " ".join(missing[0][c] or "" for c in ("s", "p", "o")))
 
     def propose_import(self, g: str, path: str, syntax: str, source: str = "import", agent: str = "import", note: str | None = None, confidence: float | None = None) -> int:
-        got = rdf.read(self.spark, path, syntax, g)
         prefix = uuid.uuid4().hex[:8]
         named = lambda c, k: F.when(F.col(k) == "bnode", F.concat(F.lit(f"_:{prefix}"), F.regexp_replace(F.col(c), "^_:", ""))).otherwise(F.col(c))
-        return self._stage(g, got.withColumn("s", named("s", "s_kind")).withColumn("o", named("o", "o_kind")), None, source, agent, note, confidence)
+        with self._reading("Import", path):
+            got = rdf.read(self.spark, path, syntax, g)
+            return self._stage(g, got.withColumn("s", named("s", "s_kind")).withColumn("o", named("o", "o_kind")), None, source, agent, note, confidence)
 
     def propose_retraction(self, g: str, path: str, syntax: str, source: str = "human", agent: str = "editor", note: str | None = None) -> int:
-        return self._stage(g, None, rdf.read(self.spark, path, syntax, g), source, agent, note, None)
+        with self._reading("Import", path):
+            return self._stage(g, None, rdf.read(self.spark, path, syntax, g), source, agent, note, None)
 
     def propose_statements(self, g: str, statements: DataFrame, source: str = "import", agent: str = "import", note: str | None = None) -> int:
         """Additions that are statements already; blank nodes keep their names."""
@@ -312,7 +347,12 @@ class Store:
     def propose_edit(self, g: str, edit: Edit, source: str = "human", agent: str = "editor", note: str | None = None) -> int:
         kind = F.when(F.col("s").startswith("_:"), "bnode").otherwise("iri").alias("s_kind")
         whole = lambda df: df.select("*", kind) if "s_kind" not in df.columns else df
-        return self._stage(g, whole(edit.additions), whole(edit.removals), source, agent, note, None)
+        try:
+            return self._stage(g, whole(edit.additions), whole(edit.removals), source, agent, note, None)
+        except StoreRefused as e:
+            if e.code == "ImportEmpty":
+                raise StoreRefused("CandidateEmpty", g) from None
+            raise
 
     def candidates(self) -> DataFrame:
         keep = ("id", "target", "additions", "removals", "source", "agent", "note", "confidence", "state", "proposed_at", "decided_by", "decided_at")
@@ -391,14 +431,18 @@ class Store:
         """Into an empty store only, all or nothing."""
         if self.catalog["graphs"] or self.catalog["candidates"]:
             raise StoreRefused("RestoreNotEmpty")
-        all_ = rdf.read(self.spark, path, "nquads")
-        record = all_.filter((F.col("g") == SYSTEM) & (F.col("p") == "urn:conceptmill:catalog")).select("o").limit(2).collect()
+        with self._reading("Restore", path):
+            all_ = rdf.read(self.spark, path, "nquads")
+            record = all_.filter((F.col("g") == SYSTEM) & (F.col("p") == "urn:conceptmill:catalog")).select("o").limit(2).collect()
         if len(record) != 1:
             raise StoreRefused("NotABackup", path)
         saved = json.loads(record[0][0])
         if saved.get("format", 0) > FORMAT:
             raise StoreRefused("RestoreFormatTooNew", str(saved["format"]))
-        migrate(saved)
+        try:
+            migrate(saved)
+        except StoreRefused as e:
+            raise StoreRefused("RestoreNoMigrationPath" if e.code == "NoMigrationPath" else "NotABackup", str(e)) from e
         known = [g for g, x in saved["graphs"].items()]
         stray = all_.filter(~F.col("g").isin([SYSTEM, *known])).select("g").limit(1).collect()
         if stray:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as V
 from ..operators import discovery, edits, reports, walks
+from ..operators.hierarchy import Hierarchy
 from ..operators.integrity import Integrity, newly_violated, verdicts
 from ..operators.skos import CoreModel
 from ..tables import table
@@ -80,6 +81,16 @@ def g12_summits(spark: SparkSession, folder: str) -> DataFrame:
     return walks.summits(walks.routes(m.relations, _origins(spark, folder, "up"))[0], m.top_concepts).withColumn("top_concept_of", F.array_join("top_concept_of", " "))
 
 
+@query(
+    "g15_closure_size",
+    f"""WITH RECURSIVE {_REL}, e AS MATERIALIZED (SELECT DISTINCT g, s, o FROM rel WHERE p = 'skos:broaderTransitive'), c AS (SELECT g, s, o FROM e UNION SELECT c.g, c.s, e.o FROM c JOIN e ON e.g = c.g AND e.s = c.o)
+SELECT g, count(*) AS pairs FROM c GROUP BY g""",
+)
+def g15_closure_size(spark: SparkSession, folder: str) -> DataFrame:
+    up = walks.upward(model(spark, folder).relations)
+    return Hierarchy(up, child="a", parent="b").closure_size()
+
+
 # -- model --------------------------------------------------------------------------------------------
 
 
