@@ -12,7 +12,7 @@ Shape of the work
   survivors and one aggregation.  Rounds chain: as many run as one job as leave at least half of the rows that the job starts
   with, one at the wide bottom and up to ``most_rounds`` in the long thin top.  There links are first joined to hops of up to eight
   links, as long as that makes no more than proportionally more of them, and a join peels that many levels, exactly.
-* The levels of one job are a batch.  Lists and paths move from batch to batch through one table, partitioned by the batch
+* The levels of one job are a batch, and so are all those of the thin top.  Lists and paths move from batch to batch through one table, partitioned by the batch
   that receives.  A batch of one level joins what it got with its links.  A batch of several levels first closes the links
   within it by doubling; those pairs are part of the result, so that is no more than the result.  Then it sends on, and its partition is dropped.
 * Descendants and paths are rows, never arrays per root: a root with a third of all concepts below it
@@ -134,6 +134,17 @@ def peel(stage: Stage, edges: DataFrame, nodes: DataFrame, first: int = 0, most_
             links, written = new_links, seen["left"]
 
 
+def _joined(batches: list[Batch]) -> list[Batch]:
+    """Neighbouring batches of the thin top, of ``_THIN`` levels or more each, as one."""
+    out: list[Batch] = []
+    for x in batches:
+        if out and min(x.high - x.low, out[-1].high - out[-1].low) + 1 >= _THIN:
+            out[-1] = Batch(out[-1].low, x.high, out[-1].nodes.unionByName(x.nodes))
+        else:
+            out.append(x)
+    return out
+
+
 class Hierarchy:
     def __init__(self, links: DataFrame, scope: str = "g", child: str = "child", parent: str = "parent", most_rounds: int = 64):
         self.spark = links.sparkSession
@@ -175,14 +186,15 @@ class Hierarchy:
     @cached_property
     def batches(self) -> list[Batch]:
         """All levels; loops are contracted, and the peeling has gone on above them."""
-        if self._residue is None:
-            return self._batches
-        low = self._loops.select(F.col("id").alias("v"), "lowest")
-        nodes = self._residue.join(low, "v", "left").select(F.coalesce("lowest", "v").alias("v")).distinct()
-        links = self.stage.write(self._contracted(self._tangle), "contracted")
-        more, left, _ = peel(self.stage, links, nodes, self._next, self.most_rounds)
-        assert left is None
-        return self._batches + more
+        peeled = [self._batches]
+        if self._residue is not None:
+            low = self._loops.select(F.col("id").alias("v"), "lowest")
+            nodes = self._residue.join(low, "v", "left").select(F.coalesce("lowest", "v").alias("v")).distinct()
+            links = self.stage.write(self._contracted(self._tangle), "contracted")
+            more, left, _ = peel(self.stage, links, nodes, self._next, self.most_rounds)
+            assert left is None
+            peeled.append(more)
+        return [x for part in peeled for x in _joined(part)]
 
     def _contracted(self, edges: DataFrame) -> DataFrame:
         c = self._loops.select(F.col("id").alias("c"), F.col("lowest").alias("cl"))
@@ -234,17 +246,20 @@ class Hierarchy:
         return sent.take(_DONE).select("a", "d")
 
     def _closed(self, links: DataFrame, selves: DataFrame, length: int) -> DataFrame:
-        """(c, p): nodes joined by at most ``length`` links, each with itself.  Pairs joined by exactly 2^i links, and those by fewer."""
-        fewer, exact = links.unionByName(selves), links.select("c", F.col("p").alias("m")).join(links.select(F.col("c").alias("m"), "p"), "m").select("c", "p").distinct()
-        reach = 1
+        """(c, p): nodes joined by at most ``length`` links, each with itself.  Pairs joined by exactly 2^i links are joined with those by fewer
+        and with each other, twice in a job."""
+        if length == 1:
+            return links.unionByName(selves)
+        t = links.withColumn("exact", F.lit(True)).unionByName(selves.withColumn("exact", F.lit(False)))
+        reach = 0
         while reach < length:
-            both = fewer.withColumn("exact", F.lit(False)).unionByName(exact.withColumn("exact", F.lit(True))) if reach == 1 else t
-            on = both.select(F.col("c").alias("m"), "p", "exact")
-            more = exact.select("c", F.col("p").alias("m")).join(on, "m").select("c", "p", "exact").unionByName(fewer.withColumn("exact", F.lit(False))).distinct()
-            t = self.stage.write(more, "closed")
-            fewer, exact = t.filter("not exact").select("c", "p"), t.filter("exact").select("c", "p")
-            reach = 2 * reach + 1
-        return fewer
+            for _ in range(2):
+                first = t.filter("exact").select("c", F.col("p").alias("m"))
+                on = first.join(t.select(F.col("c").alias("m"), "p", "exact"), "m").select("c", "p", "exact")
+                t = on.unionByName(t.filter("not exact")).distinct()
+                reach = 2 * reach + 1
+            t = self.stage.write(t, "closed")
+        return t.filter("not exact").select("c", "p")
 
     @cached_property
     def _below(self) -> DataFrame:
@@ -310,17 +325,19 @@ class Hierarchy:
         return sent.take(_DONE).select("id", "path", "depth", "root")
 
     def _ways(self, links: DataFrame, selves: DataFrame, length: int) -> DataFrame:
-        """(p, c, way, n): every way down of at most ``length`` links.  Each is made once: of ways of exactly 2^i links and a shorter one."""
-        first = links.select("p", F.col("c").alias("m"), F.col("way").alias("way1"), F.col("n").alias("n1"))
-        then = lambda x: first.join(x.withColumnRenamed("p", "m"), "m").select("p", "c", F.concat("way1", "way").alias("way"), (F.col("n1") + F.col("n")).alias("n"), *x.columns[4:])
-        fewer, exact, reach = links.unionByName(selves), then(links), 1
+        """(p, c, way, n): every way down of at most ``length`` links.  Each is made once: of one of exactly 2^i links and a shorter one."""
+        if length == 1:
+            return links.unionByName(selves)
+        t = links.withColumn("exact", F.lit(True)).unionByName(selves.withColumn("exact", F.lit(False)))
+        reach = 0
         while reach < length:
-            both = fewer.withColumn("exact", F.lit(False)).unionByName(exact.withColumn("exact", F.lit(True))) if reach == 1 else t
-            first = exact.select("p", F.col("c").alias("m"), F.col("way").alias("way1"), F.col("n").alias("n1"))
-            t = self.stage.write(then(both).unionByName(fewer.withColumn("exact", F.lit(False))), "ways")
-            fewer, exact = t.filter("not exact").drop("exact"), t.filter("exact").drop("exact")
-            reach = 2 * reach + 1
-        return fewer
+            for _ in range(2):
+                first = t.filter("exact").select("p", F.col("c").alias("m"), F.col("way").alias("way1"), F.col("n").alias("n1"))
+                on = first.join(t.withColumnRenamed("p", "m"), "m").select("p", "c", F.concat("way1", "way").alias("way"), (F.col("n1") + F.col("n")).alias("n"), "exact")
+                t = on.unionByName(t.filter("not exact"))
+                reach = 2 * reach + 1
+            t = self.stage.write(t, "ways")
+        return t.filter("not exact").drop("exact")
 
     def paths(self) -> DataFrame:
         """(g, concept, path, depth, root, root_on_loop): one row for each full path to the top."""
