@@ -86,11 +86,12 @@ def p6_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix(p6_containers(spark, folder), "source", table(spark, folder, "source_targets"))
 
 
-def p6_held(spark: SparkSession, folder: str, capacity: int = 2048) -> DataFrame:
-    """For each target, whether each window holds the mixture within one text while all queues last."""
-    off = p6_mix(spark, folder).filter("all_last").groupBy("source").agg(F.max(F.abs("deficit")).alias("most"))
+def p6_held(spark: SparkSession, folder: str, capacity: int = 2048, window_containers: int = 8) -> DataFrame:
+    """For each target, whether each window holds the mixture within one text while all queues last.  The windows are small here, so
+    that there are many of them before the first queue ends.  A source's deficit has its own text in it and its share of the others'."""
     targets = table(spark, folder, "source_targets").select("source", "target_share")
-    # the deficit of one source is its own text's and its share of the others'
+    packed = pack(counted(spark, folder), "doc_id", "n_tokens", "source", targets, capacity, window_containers)
+    off = mix(packed, "source", targets).filter("all_last").groupBy("source").agg(F.max(F.abs("deficit")).alias("most"))
     return targets.join(off, "source", "left").select("source", "target_share", F.coalesce(F.col("most") <= 2 * capacity, F.lit(True)).alias("held"))
 
 
