@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as V
 from ..staging import Stage
-from .hierarchy import Hierarchy
 from .linked import linked
 from .skos import CoreModel, mapped
-from .walks import walk
+from .walks import upward, walk
 
 
 def _finding(df: DataFrame, kind: str, rule: str | Column | None, node: str, *detail: str | Column) -> DataFrame:
@@ -42,12 +41,12 @@ class Integrity:
         return _finding(x, "MultiplePreferredLabels", "S14", "node", "lang", "n")
 
     def related_and_broader(self) -> DataFrame:
-        """S27 through the closure.  Only the concepts that something is related to are sent up the hierarchy, so
-        the closure of all others is never built."""
-        r = self.m.relations
-        tree = Hierarchy(r.filter("p = 'skos:broaderTransitive'").select("g", F.col("s").alias("child"), F.col("o").alias("parent")))
-        related = r.filter("p = 'skos:related'").select("g", F.col("s").alias("low"), F.col("o").alias("high"))
-        return _finding(tree.above(related), "RelatedAndBroaderTransitive", "S27", "low", "high")
+        """S27 through the closure.  Walks go up from the concepts that something is related to, and from no others, so
+        the closure of all concepts is never built."""
+        r = self.m.hold("mappings", "relations").relations
+        related = r.filter("p = 'skos:related'").select("g", F.col("s").alias("origin"), F.col("o").alias("node"))
+        above, _ = walk(upward(r), related.select("g", "origin"), rounds=8)
+        return _finding(related.join(above.select("g", "origin", "node"), ["g", "origin", "node"], "left_semi"), "RelatedAndBroaderTransitive", "S27", "origin", "node")
 
     def related_within(self, max_nodes: int, max_links: int) -> DataFrame:
         """S27 under bounds: what was found, and what was left unchecked.
