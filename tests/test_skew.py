@@ -1,7 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from conceptmill.operators import walks
 from conceptmill.operators.skew import chunked, per_key
 from conceptmill.staging import Stage
 
@@ -43,3 +45,17 @@ def test_chunks_are_equal(spark, rows, most):
 def test_empty(spark):
     got, n = per_key(spark.createDataFrame([], "k string, v string"), "k", "v")
     assert n == 0 and got.collect() == []
+
+
+def test_siblings_of_a_large_parent_are_made_in_cells(spark):
+    up = {f"k{i}": {"a"} | ({"b"} if i % 2 else set()) | ({"c"} if i % 3 == 0 else set()) for i in range(11)} | {"x": {"b"}, "y": {"c"}, "z": {"d"}}
+    links = [("g", *x, "asserted") for c, ps in up.items() for p in ps for x in ((c, "skos:broader", p), (p, "skos:narrower", c))]
+    relations = spark.createDataFrame(links + [("h", "k0", "skos:broader", "a", "asserted"), ("h", "a", "skos:narrower", "k0", "asserted")], "g string, s string, p string, o string, origin string")
+    asked = ["k0", "k1", "k2", "k3", "k4", "k6", "x", "z", "none"]
+    origins = spark.createDataFrame([(g, x) for g in "gh" for x in asked] + [("g", "k0")], "g string, origin string")
+    want = sorted(("g", o, s, " ".join(sorted(up[o] & up[s]))) for o in asked if o in up for s in up if s != o and up[o] & up[s])
+    for cell in (2, 512):
+        got = walks.siblings(relations, origins, joined=" ", cell=cell)
+        assert sorted(map(tuple, got.select("g", "origin", "sibling", "parents").collect())) == want
+    got = walks.siblings(relations, origins, cell=2).filter("parents = array('a') and origin in ('k0', 'k2')")
+    assert got.groupBy(F.spark_partition_id()).count().count() > 1  # the pairs of one parent are in several tasks
